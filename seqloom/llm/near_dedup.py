@@ -1,14 +1,13 @@
 """Near-duplicate documents by SetSketch registers, verified on full shingle sets.
 
-A register is the floor of the negative logarithm (base 1.001) of the least of exponentially
-distributed hash values of a set, truncated to 16 bits. Bands of register values give candidate
-pairs, the joint likelihood of two sketches and the known set sizes discards hopeless ones, and
-every link is confirmed on the full sets. Identical sets are one class from the start, so copies
+A register is the floor of the negative logarithm of the least of exponentially distributed hash
+values of a set, truncated to 16 bits (base 1.001) in bands or 8 bits (base 1.2) otherwise. Bands
+of register values give candidate pairs, the joint likelihood of two wide sketches and the known
+set sizes discards hopeless ones, and every link is confirmed on the full sets. Identical sets are one class from the start, so copies
 never become pairs.
 """
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +23,21 @@ MIN_SIMILARITY_PERCENT = 75
 #: Bands of four registers: a pair at similarity 0.75 shares none with probability 5e-6.
 BANDS, BAND_WIDTH = 32, 4
 REGISTERS = BANDS * BAND_WIDTH
-LOG_BASE, RATE, TOP = 1.001, 20.0, 65535
+#: Registers of the sketches that pairs are estimated from, of which a first look takes some.
+WIDE, FIRST_LOOK = 1024, 128
+#: Equal registers of the first look below which a pair is dropped: six standard deviations under the mean at 0.75.
+FIRST_EQUAL = 66
+RATE = 20.0
+#: Bases of the band registers (16 bits) and of the wide ones (8 bits).
+BAND_BASE, WIDE_BASE = 1.001, 1.2
 #: Candidates whose log-likelihood at or above the threshold is this far below its maximum are dropped.
 LIKELIHOOD_GAP = 14.0
 #: Members of one bucket that are compared at a time.
 BLOCK = 2048
 
 _rng = np.random.default_rng(77001)
-_FACTORS = _rng.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2)
+_FACTORS = _rng.integers(1, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = _rng.integers(0, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2)
 
 
 def shingle_sets(column: pa.Array, k: int = SHINGLE_WORDS) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -53,23 +58,27 @@ def shingle_sets(column: pa.Array, k: int = SHINGLE_WORDS) -> Iterator[tuple[int
         yield lo, sets
 
 
-def sketch(sets: list[np.ndarray]) -> np.ndarray:
-    """uint16 registers, a row for each non-empty set."""
+def sketch(sets: list[np.ndarray], registers: int = REGISTERS, base: float = BAND_BASE, dtype=np.uint16) -> np.ndarray:
+    """Registers of each non-empty set, a row each."""
     sizes = np.array([len(s) for s in sets])
-    out = np.empty((len(sets), REGISTERS), np.uint64)
+    out = np.empty((len(sets), registers), np.uint64)
     lo = 0
     while lo < len(sets):
         hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo:]), 1 << 15)))
         x = np.concatenate(sets[lo:hi])
         first = np.concatenate(([0], np.cumsum(sizes[lo:hi])[:-1]))
         h = np.empty_like(x)
-        for i in range(REGISTERS):
+        for i in range(registers):
             np.multiply(x, _FACTORS[i], out=h)
             h += _SHIFTS[i]
             out[lo:hi, i] = np.minimum.reduceat(h, first)
         lo = hi
     least = -np.log1p(-((out >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53) / RATE
-    return np.clip(np.floor(1 - np.log(least) / np.log(LOG_BASE)), 0, TOP).astype(np.uint16)
+    return np.clip(np.floor(1 - np.log(least) / np.log(base)), 0, np.iinfo(dtype).max).astype(dtype)
+
+
+def wide_sketch(sets: list[np.ndarray]) -> np.ndarray:
+    return sketch(sets, WIDE, WIDE_BASE, np.uint8)
 
 
 def band_keys(registers: np.ndarray) -> np.ndarray:
@@ -80,28 +89,29 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
 
 def _larger_probability(x: np.ndarray) -> np.ndarray:
     """Probability that one register exceeds the other, by the share x of what only one set has."""
-    return -np.log1p(-np.clip(x, 0, 1) * (LOG_BASE - 1) / LOG_BASE) / np.log(LOG_BASE)
+    return -np.log1p(-np.clip(x, 0, 1) * (WIDE_BASE - 1) / WIDE_BASE) / np.log(WIDE_BASE)
 
 
-def log_likelihood(j: np.ndarray, na, nb, above, below) -> np.ndarray:
+def log_likelihood(j: np.ndarray, na, nb, above, below, registers: int) -> np.ndarray:
     """Joint log-likelihood of similarity j, given set sizes and how often register a exceeds b or is below."""
     u, v = na / (na + nb), nb / (na + nb)
     p, q = _larger_probability(u - v * j), _larger_probability(v - u * j)
     tiny = 1e-12
-    equal = REGISTERS - above - below
+    equal = registers - above - below
     return above * np.log(p + tiny) + below * np.log(q + tiny) + equal * np.log(np.maximum(1 - p - q, tiny))
 
 
-def plausible(na: np.ndarray, nb: np.ndarray, above: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(can the pair reach the threshold, maximum-likelihood similarity)."""
-    na, nb = na.astype(np.float64), nb.astype(np.float64)
+def plausible(na: np.ndarray, nb: np.ndarray, ra: np.ndarray, rb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(can the pair reach the threshold, maximum-likelihood similarity) of pairs of wide sketches."""
+    na, nb, m = na.astype(np.float64), nb.astype(np.float64), ra.shape[1]
+    above, below = (ra > rb).sum(axis=1), (ra < rb).sum(axis=1)
     most = np.minimum(na, nb) / np.maximum(na, nb)
     bound = MIN_SIMILARITY_PERCENT / 100
     grid = np.linspace(0, 1, 65)[:, None]
-    ll = log_likelihood(grid * most, na, nb, above, below)
+    ll = log_likelihood(grid * most, na, nb, above, below, m)
     best = ll.max(axis=0)
     high = bound + (most - bound) * np.linspace(0, 1, 17)[:, None]
-    reach = log_likelihood(np.minimum(high, most), na, nb, above, below).max(axis=0)
+    reach = log_likelihood(np.minimum(high, most), na, nb, above, below, m).max(axis=0)
     ok = (100 * np.minimum(na, nb) >= MIN_SIMILARITY_PERCENT * np.maximum(na, nb)) & (reach >= best - LIKELIHOOD_GAP)
     return ok, grid[ll.argmax(axis=0), 0] * most
 
@@ -113,7 +123,7 @@ def _fixed(column: pa.Array, dtype) -> np.ndarray:
     column = column.cast(pa.large_binary())
     n = len(column)
     if not n:
-        return np.empty((0, REGISTERS), dtype)
+        return np.empty((0, 1), dtype)
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + n + 1]
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].reshape(n, -1).view(dtype)
@@ -125,7 +135,7 @@ def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, sets in shingle_sets(batch.column(1)):
             full = [s for s in sets if len(s)]
-            registers = iter(sketch(full)) if full else iter(())
+            registers = iter(sketch(full) if full else ())
             prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             marks = [next(registers).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -145,7 +155,11 @@ def _to_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, sets in shingle_sets(batch.column(1)):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "set"])
+            registers = [r.tobytes() for r in wide_sketch(sets)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(registers, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                ["rep", "n", "registers", "set"],
+            )
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,8 +167,8 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 4096):
             part = batch.slice(lo, 4096)
-            ra, rb = _fixed(part.column(4), np.uint16), _fixed(part.column(5), np.uint16)
-            ok, _ = plausible(part.column(2).to_numpy(), part.column(3).to_numpy(), (ra > rb).sum(axis=1), (ra < rb).sum(axis=1))
+            ra, rb = _fixed(part.column(4), np.uint8), _fixed(part.column(5), np.uint8)
+            ok, _ = plausible(part.column(2).to_numpy(), part.column(3).to_numpy(), ra, rb)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(ok))
 
 
@@ -176,16 +190,18 @@ def _best_pairs(rep, comp, size, registers, side, k):
 
     side: 0 or 1 if the block joins two blocks, whose inner pairs other blocks have; else all -1.
     """
-    n, found = len(rep), []
-    rows = max(1, (1 << 23) // (n * REGISTERS))
+    n, found, look = len(rep), [], np.ascontiguousarray(registers[:, :FIRST_LOOK])
+    rows = max(1, (1 << 20) // n)
     for lo in range(0, n - 1, rows):
         i = np.arange(lo, min(n - 1, lo + rows))
         ii, jj = np.nonzero((comp[i][:, None] != comp[None, :]) & (i[:, None] < np.arange(n)[None, :]) & ((side[i][:, None] != side[None, :]) | (side[0] < 0)))
         ii += lo
         if len(ii):
-            for at in range(0, len(ii), 1 << 15):
-                a, b = ii[at : at + (1 << 15)], jj[at : at + (1 << 15)]
-                ok, est = plausible(size[a], size[b], (registers[a] > registers[b]).sum(axis=1), (registers[a] < registers[b]).sum(axis=1))
+            for at in range(0, len(ii), 1 << 13):
+                a, b = ii[at : at + (1 << 13)], jj[at : at + (1 << 13)]
+                ok = (look[a] == look[b]).sum(axis=1) >= FIRST_EQUAL
+                a, b = a[ok], b[ok]
+                ok, est = plausible(size[a], size[b], registers[a], registers[b])
                 found.append((a[ok], b[ok], est[ok]))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -210,7 +226,7 @@ def _block_pairs(k):
             key = np.stack([part.column(c).to_numpy() for c in ("band", "i", "j")])
             cuts = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [part.num_rows]))
             rep, comp, size, own = (part.column(c).to_numpy() for c in ("rep", "component", "n", "own"))
-            registers = _fixed(part.column("registers"), np.uint16)
+            registers = _fixed(part.column("registers"), np.uint8)
             out = []
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 if hi - lo > 1:
@@ -268,9 +284,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     buckets = sc.save(bands.join(hubs, "band").distinct(), "buckets")
 
     active = buckets.select("rep").distinct()
-    sets = sc.save(texts.withColumnRenamed("doc_id", "rep").join(active, "rep", "left_semi").mapInArrow(_to_sets, "rep long, set binary"), "sets")
-    sketches = classes.join(active, "rep", "left_semi").select("rep", "n", "registers")
-    sketches = sc.save(sketches, "sketches")
+    sets = texts.withColumnRenamed("doc_id", "rep").join(active, "rep", "left_semi").mapInArrow(_to_sets, "rep long, n long, registers binary, set binary")
+    sets = sc.save(sets.filter("n > 0"), "sets")
+    sketches = sets.select("rep", "n", "registers")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         full = _attach(pairs, sets, {"set": ("sa", "sb")}).select("a", "b", "sa", "sb")
@@ -280,7 +296,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     stars = _attach(stars, sketches, {"n": ("na", "nb"), "registers": ("ra", "rb")}).select("a", "b", "na", "nb", "ra", "rb")
     edges = verified(stars.mapInArrow(_likely, "a long, b long").distinct(), "edges-0")
     found = components(edges, sc, "links-0")
-    for i, k in enumerate((1, 16, None), 1):
+    for i, k in enumerate((1, None), 1):
         member = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
         counts = member.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).filter("lo < hi")
         blocks = F.ceil(F.col("c") / BLOCK).cast("int")
@@ -293,14 +309,14 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
         if pairs.isEmpty():
             break
         more = verified(pairs, f"edges-{i}")
-        if more.isEmpty() and k is None:
-            break
+        if more.isEmpty():
+            continue
         edges = edges.unionByName(more)
         found = components(edges, sc, f"links-{i}")
     found = sc.save(found, "found")
     label = classes.select("print", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     label = sc.save(label.select("print", F.coalesce("component", "rep").alias("component_id")), "labels")
-    sc.drop("classes", "buckets", "sets", "sketches", "found", *[f"{x}-{i}" for x in ("pairs", "edges") for i in range(4)])
+    sc.drop("classes", "buckets", "sets", "found", *[f"{x}-{i}" for x in ("pairs", "edges") for i in range(3)])
 
     out = base.select("doc_id", "n_shingles", "print").join(label, "print", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
