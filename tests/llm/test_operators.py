@@ -1,0 +1,360 @@
+import gzip
+import hashlib
+import io
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from seqloom.llm import chat, decontaminate, line_dedup, mixing, pii, quality, token_counts, token_output, warc
+from seqloom.llm.scratch import Scratch
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def frame(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+# WARC
+
+
+def archive(spark, rows):
+    pages = frame(spark, rows, "page_id long, url string, html string, payload string")
+    return warc.read_archives(warc.write_archives(pages, Scratch(spark, "t"))).collect()
+
+
+def test_warc_round_trip(spark):
+    big, small = "é" * 60, "x" * 99
+    rows = [(3, "http://a/", big, "?"), (2, None, big, "?"), (9, "u", big, "?"), (2, "again", big, "?"), (4, "u", small, "?"), (5, "u", small, "?"), (6, "u", None, "?"), (7, "u\r\nX-Page-Id: 1", "", "?"), (None, "u", big, "?")]
+    got = archive(spark, rows)
+    want = []
+    for page, _, html, _ in rows:
+        payload = (html or "").encode()
+        again = len(payload) >= 100 and page is not None and page > 2
+        want.append((page, len(payload), hashlib.sha256(payload).hexdigest(), "revisit" if again else "response", 2 if again else None))
+    assert sorted(map(str, want)) == sorted(str((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in got)
+    assert all(bytes(r.payload).decode() in (big, small, "") for r in got if r.record_type == "response")
+    assert archive(spark, []) == []
+
+
+def test_warc_reader_rejects_damage():
+    def member(payload=b"hello", **_):
+        return warc.record_bytes(1, "u", payload, hashlib.sha256(payload).digest(), None)
+
+    good = gzip.compress(member()) + warc.gzip_member(member(b"z" * 700_000))
+    assert [len(b.partition(b"\r\n\r\n")[2]) for _, b, _ in warc.records(io.BytesIO(good))] == [5, 700_000]
+    bad = {
+        "cut": good[:-9],
+        "not gzip": b"WARC/1.1\r\n",
+        "two in one": gzip.compress(member() + member()),
+        "long": gzip.compress(member().replace(b"Content-Length: ", b"Content-Length: 9", 1)),
+        "digest": gzip.compress(member().replace(b"hello", b"hellx")),
+        "version": gzip.compress(member().replace(b"WARC/1.1", b"WORC/1.1")),
+        "no header end": gzip.compress(b"WARC/1.1\r\n" + b"a: b\r\n" * 10),
+    }
+    for name, data in bad.items():
+        with pytest.raises(warc.WarcError):
+            print(name, list(warc.records(io.BytesIO(data))))
+
+
+# Mixing
+
+
+def brute_mix(rows):
+    sizes = {}
+    for _, text, source in rows:
+        sizes[source] = sizes.get(source, 0) + len(WORD.findall(text or ""))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    total, target, open_ = sum(sizes.values()), {}, set(order)
+    while True:
+        left = total - sum(target.values())
+        share = {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 3 * sizes[s]}
+        if not over:
+            return {**target, **share}, sizes
+        target |= {s: 3 * sizes[s] for s in over}
+        open_ -= over
+
+
+def mixing_rows():
+    rng = random.Random(1)
+    return [(i, "w " * rng.randint(0, 40), rng.choice(["a", "b", "b", "b", "b", None, "é", "Z"])) for i in range(800)] + [(900, None, "tiny"), (None, "a b", "b"), (5, "x", "b")]
+
+
+def test_mix_meets_targets(spark):
+    rows = mixing_rows()
+    docs = frame(spark, [(*r, "?") for r in rows], "doc_id long, text string, source string, size string")
+    got = mixing.mix(docs, Scratch(spark, "t")).collect()
+    again = mixing.mix(docs.repartition(7), Scratch(spark, "t")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again)) and len(got) == len(rows)
+    target, sizes = brute_mix(rows)
+    taken = {}
+    for r in got:
+        assert r.taken in (0, r.size, 2 * r.size, 3 * r.size) and r.source_size == sizes[r.source]
+        assert abs(r.target - target[r.source]) < 1e-6
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    assert all(abs(taken[s] - target[s]) <= 21 for s in target)
+    copies = {}
+    for r in mixing.mixed(docs, Scratch(spark, "t")).collect():
+        copies[r.source] = copies.get(r.source, 0) + len(WORD.findall(r.text or ""))
+    assert {s: n for s, n in copies.items() if n} == {s: n for s, n in taken.items() if n}
+
+
+def test_mix_of_nothing(spark):
+    schema = "doc_id long, text string, source string"
+    assert mixing.mix(frame(spark, [], schema), Scratch(spark, "t")).collect() == []
+    assert [(r.target, r.taken) for r in mixing.mix(frame(spark, [(1, None, None)], schema), Scratch(spark, "t")).collect()] == [(0.0, 0)]
+
+
+# Decontamination
+
+ITEM = "A farmer near Oldbridge has 12 sheep and buys 5 more from Anna for 30 dollars before the 12 sheep walk home slowly"
+
+
+def hits(spark, texts, items=((1, ITEM),)):
+    docs = frame(spark, list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.contaminated(docs, frame(spark, list(items), "item_id long, text string")).collect()
+    left = [r.doc_id for r in decontaminate.clean(docs, frame(spark, list(items), "item_id long, text string")).collect()]
+    assert sorted(left) == sorted(set(range(len(texts))) - {r.doc_id for r in found})
+    return {(r.doc_id, r.item_id): r for r in found}
+
+
+def test_reparameterised_items_are_found(spark):
+    changed = ITEM.replace("12", "47").replace("Oldbridge", "Northam").replace("30 dollars", "9 euros").replace("Anna", "Peter")
+    broken = "A farmer near Oldbridge has 12 sheep and buys 5 more from Anna for 30 dollars before the 99 sheep walk home slowly"
+    got = hits(spark, ["x " * 50 + ITEM + " y" * 50, "so. " + changed, broken, "clean words only here", None, "", ITEM.upper(), " ".join(ITEM.split()[:9])])
+    assert {k[0] for k in got} == {0, 1, 2}
+    assert got[0, 1].same_slots and not got[1, 1].same_slots and got[0, 1].matched_windows == got[0, 1].item_windows
+    assert got[2, 1].matched_windows < got[0, 1].matched_windows
+
+
+def test_odd_benchmarks(spark):
+    items = [(7, ITEM), (3, ITEM), (None, ITEM), (4, None), (5, ""), (6, "too short"), (8, "five words make one item"), (9, "12 12 12 12 12 12 12 12 12 12")]
+    got = hits(spark, [ITEM, "here five words make one item again", "1 2 3 4 5 6 7 8 9 10 11 12"], items)
+    assert set(got) == {(0, 3), (1, 8)}
+    assert hits(spark, [ITEM], []) == {}
+
+
+# Quality
+
+
+def brute_counts(text):
+    text = text or ""
+    words = WORD.findall(text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    grams = {}
+    for i in range(len(words) - 7):
+        grams.setdefault(tuple(words[i : i + 8]), []).append(i)
+    covered = {i + j for at in grams.values() if len(at) > 1 for i in at for j in range(8)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered)
+
+
+def test_quality_counts_match_brute_force(spark):
+    rng = random.Random(2)
+    texts = [None, "", "\n\n", "a"] + [" ".join(rng.choice(["é", "b", "c#", "d|d\n", "e\te\n", "f"]) for _ in range(rng.randint(0, 150))) for _ in range(150)]
+    rows = [(i, t, "?") for i, t in enumerate(texts)]
+    got = quality.judge(frame(spark, rows, "doc_id long, text string, kept string"), quality.fit(np.zeros((0, 12)), np.zeros(0), [0] * 12)).collect()
+    for r in got:
+        want = brute_counts(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0]) == (not r.kept)
+
+
+def test_trees_learn_and_stay_monotonic():
+    rng = np.random.default_rng(3)
+    x = rng.random((3000, 3))
+    y = ((x[:, 0] + 0.3 * np.sin(9 * x[:, 1]) > 0.6) ^ (rng.random(3000) < 0.05)).astype(float)
+    model = quality.fit(x[:2000], y[:2000], [1, 0, -1])
+    assert ((model.score(x[2000:]) > 0) == (y[2000:] > 0)).mean() > 0.88
+    for f, sign in ((0, 1), (2, -1)):
+        base = np.repeat(rng.random((50, 3)), 40, axis=0)
+        base[:, f] = np.tile(np.linspace(0, 1, 40), 50)
+        assert (sign * np.diff(model.score(base).reshape(50, 40), axis=1) >= -1e-9).all()
+
+
+def test_quality_held_out_accuracy(spark):
+    path = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    model = quality.train(docs, labels.filter("doc_id % 2 = 0"))
+    got = quality.judge(docs, model).join(labels.filter("doc_id % 2 = 1"), "doc_id").filter("NOT base_failed").toPandas()
+    assert (got.kept == (got.quality == 1)).mean() > 0.97
+    assert got.kept[got.quality == 1].mean() > 0.98
+
+
+def test_training_without_labels(spark):
+    docs = frame(spark, [(1, "w " * 30), (1, "v " * 40), (2, None)], "doc_id long, text string")
+    for rows in ([], [(1, None), (None, 1)], [(1, 1), (1, 0), (5, 1)]):
+        quality.judge(docs, quality.train(docs, frame(spark, rows, "doc_id long, quality int"))).collect()
+
+
+# Token counts
+
+
+def test_section_tokens(spark):
+    vocabulary = token_output.vocabulary_path("byte_bpe_50k.tiktoken")
+    rng = random.Random(4)
+    texts = [None, "", "\n\n\nab", "x\n\n\n\n  y"] + ["".join(rng.choice("ab é\n .") for _ in range(rng.randint(0, 80))) for _ in range(60)]
+    encoding, _ = token_counts.encoder(vocabulary)
+    got = token_counts.section_tokens(frame(spark, list(enumerate(texts)), "doc_id long, text string"), vocabulary).collect()
+    for r in got:
+        text = texts[r.doc_id] or ""
+        lines = text.split("\n")
+        counts, crossing, at = [0] * len(lines), 0, 0
+        owner = [i for i, line in enumerate(lines) for _ in range(len(line.encode()) + 1)]
+        for token in encoding.encode_ordinary(text):
+            n = len(encoding.decode_single_token_bytes(token))
+            own = owner[at : at + n]
+            counts[max(sorted(set(own)), key=own.count)] += 1
+            crossing += len(set(own)) > 1
+            at += n
+        assert (r.n_tokens, r.n_sections, r.n_crossing, r.section_tokens) == (sum(counts), len(lines), crossing, ",".join(map(str, counts)))
+
+
+def test_allocation_rules():
+    spans = np.array([0, 3]), np.array([3, 8])
+    assert [token_counts.allocate(*spans, np.array([0, 4]), rule)[0].tolist() for rule in token_counts.RULES] == [[0, 1], [0, 0], [0, 1]]
+    with pytest.raises(ValueError):
+        token_counts.section_tokens(None, "", "other")
+
+
+# Line dedup
+
+
+def test_line_dedup(spark):
+    common, rare = "common line of words", "seen at three sites"
+    rows = [(i, f"own line {i} here\n{common}\nhi\n" + (rare if i < 3 else ""), f"s{i}", "?") for i in range(6)] + [(6, common, "s0", "?"), (7, None, "s1", "?"), (8, rare, "s0", "?"), (None, "x y z", None, "?")]
+    docs = frame(spark, rows, "doc_id long, text string, site string, line string")
+    lines = line_dedup.boilerplate(docs, Scratch(spark, "t"))
+    got = {r.doc_id: r for r in line_dedup.remove_boilerplate(docs, lines).collect()}
+    assert got[0].text == f"own line 0 here\nhi\n{rare}" and got[0].n_removed == 1 and got[0].n_lines == 4
+    assert got[6].text == "" and got[7].text == "" and got[8].text == rare and got[None].text == "x y z"
+    limit, line_dedup.BROADCAST_LINES = line_dedup.BROADCAST_LINES, 0
+    try:
+        joined = {r.doc_id: r for r in line_dedup.remove_boilerplate(docs, lines).collect()}
+    finally:
+        line_dedup.BROADCAST_LINES = limit
+    assert joined == got
+
+
+def test_spread_estimates(spark):
+    pairs = spark.range(3000).selectExpr("id % 3 as line", "case id % 3 when 0 then id % 9 when 1 then id % 100 else id end as site")
+    true = {0: 3, 1: 100, 2: 1000}
+    for r in line_dedup.spread(pairs).collect():
+        assert abs(r.estimate / true[r.line] - 1) < 0.4
+
+
+# Token output
+
+
+def test_token_files(spark):
+    rng = random.Random(5)
+    words = ["Héllo", "wörld's", "a1b2", "…", "don't", "ΣΑΣ", "é", "́x", "<|endoftext|>", "x" * 500, "日本語", " y z", "12345"]
+    texts = [None, "", " \n"] + ["".join(rng.choice(words) + rng.choice([" ", "\n", "\t ", ""]) for _ in range(rng.randint(1, 40))) for _ in range(80)]
+    ids = list(range(0, 3 * len(texts), 3))
+    rows = list(zip(ids, texts)) + [(3, "again"), (None, "null id")]
+    rng.shuffle(rows)
+    docs = frame(spark, rows, "doc_id long, text string")
+    tokenizer = token_output._encoder(token_output.vocabulary_path()).tokenizer
+    scratch = Scratch(spark, "t")
+    token_output.write(docs, scratch.path("x"), 3)
+    stored = token_output.read(spark, scratch.path("x"))
+    got = token_output.digests(stored).collect()
+    start = 0
+    for (doc, text), r in zip(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")), sorted(got, key=lambda r: r.start)):
+        want = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc, start, len(want), zlib.crc32(want.tobytes()))
+        start += len(want)
+    assert [r.doc_id for r in token_output.read(spark, scratch.path("x"), [9]).collect()] == [9]
+    assert token_output.encoded(frame(spark, [], "doc_id long, text string"), Scratch(spark, "t")).collect() == []
+
+
+def test_orc_files_have_bloom_filters(spark):
+    scratch = Scratch(spark, "t")
+    token_output.write(frame(spark, [(i, "a b") for i in range(50)], "doc_id long, text string"), scratch.path("x"), 1)
+    plan = token_output.read(spark, scratch.path("x"), [7])._jdf.queryExecution().toString()
+    assert "PushedFilters" in plan and "EqualTo(doc_id,7)" in plan or "In(doc_id, [7])" in plan
+
+
+# Chat
+
+
+def test_preference_pairs(spark):
+    talk = [(0, 0, "user", "hi"), (0, 1, "assistant", "good"), (0, 2, "user", "more"), (0, 3, "assistant", "é!"), (1, 0, "user", "hi"), (1, 1, "assistant", "bad <|end|>"), (3, 0, "user", None), (3, 0, None, "x"), (4, 1, "user", "q"), (5, 7, "user", "q"), (None, 0, "user", "lost")]
+    rows = [(*t, "?") for t in talk]
+    got = {r.pair_id: r for r in chat.preference_pairs(frame(spark, rows, "conv_id long, turn long, role string, text string, prompt string")).collect()}
+    r = got[0]
+    assert r.prefix_turns == 1 and r.prompt == "<|user|>\nhi<|end|>\n"
+    assert r.chosen == "<|assistant|>\ngood<|end|>\n<|user|>\nmore<|end|>\n<|assistant|>\né!<|end|>\n"
+    assert [r.chosen[int(a) : int(b)] for a, b in (s.split(":") for s in r.chosen_mask.split(","))] == ["good<|end|>\n", "é!<|end|>\n"]
+    assert r.rejected == "<|assistant|>\nbad < |end|><|end|>\n"
+    assert got[1].chosen == "" and got[1].rejected == "<|unknown|>\nx<|end|>\n<|user|>\n<|end|>\n" and got[1].rejected_mask == ""
+    assert got[2].prompt == "<|user|>\nq<|end|>\n" and got[2].chosen == got[2].rejected == ""
+    assert set(got) == {0, 1, 2}
+
+
+# Personal data
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute_spans(text):
+    out = [("email", m.start(), m.end()) for m in EMAIL.finditer(text)]
+    out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    digits = lambda s: re.sub(r"\D", "", s)
+    out += [("card", m.start(), m.end()) for m in CARD.finditer(text) if 13 <= len(digits(m[0])) <= 19 and pii.luhn([int(c) for c in digits(m[0])])]
+    return out + [("phone", m.start(), m.end()) for m in PHONE.finditer(text) if 9 <= len(digits(m[0])) <= 15]
+
+
+def test_base_spans_match_the_patterns():
+    rng = random.Random(6)
+    pieces = ["a.b@c-d.e", "@", "@@", "x@y", "1.2.3.4", "300.1.1.1", "1.2.3.4.5.6.7.8", "4111 1111-1111 1111", "4111111111111111", "+1 (310) 555-4510", "+", "é", " ", "\n", ".", "-", "0", "12", "00001.2.3.4", "x"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 14)))
+        assert pii.base_spans(text) == brute_spans(text), text
+    long = "7" * 200_000 + "a" * 200_000 + "@" + "+1" * 50_000
+    assert pii.base_spans(long) == []
+
+
+def test_field_accuracy_on_held_out_rows():
+    field = pii.default_field()
+    table = pii.labelled_table(seed=99, rows=300)
+    data, offsets = pii.textops.text_bytes(pa.array([t for t, _ in table]))
+    words = pii.textops.Words(data, offsets)
+    tags = field.decode(field.scores(field.ids(words, np.arange(len(words))), words.rows), words.rows)
+    gold = np.array([pii.TAGS.index(t) for _, own in table for t in own])
+    assert (tags == gold).mean() > 0.96
+
+
+def test_viterbi_matches_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(7)
+    field = pii.Field(np.array([1], np.uint64), {}, rng.normal(size=(5, 5)), rng.normal(size=5))
+    cuts = np.array([0, 1, 5, 7, 10])
+    scores = rng.normal(size=(10, 5))
+    got = field.decode(scores, cuts)
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        value = lambda p, a=a: field.begin[p[0]] + sum(scores[a + i, t] for i, t in enumerate(p)) + sum(field.move[x, y] for x, y in zip(p, p[1:]))
+        assert tuple(got[a:b]) == max(itertools.product(range(5), repeat=b - a), key=value)
+
+
+def test_personal_data_rows(spark):
+    rows = [(1, "call (310) 555-4510 or +1 (310) 555-4510", "?"), (2, None, "?"), (3, "é a@b.co 1.2.3.4", "?"), (None, "the year 2024 has 366 days", "?"), (5, "write to bob (at) example (dot) com\n", "?")]
+    got = {r.doc_id: r for r in pii.personal_data(frame(spark, rows, "doc_id long, text string, spans string")).collect()}
+    assert got[1].n_phone == 1 and got[1].spans == "phone:5:19,phone:23:40"
+    assert got[1].base_sha256 == hashlib.sha256(b"phone:23:40").hexdigest()
+    assert got[2].spans == got[None].spans == "" and got[2].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert got[3].spans == "email:2:8,ip:9:16" and got[5].spans == "email:9:35"
+    assert pii.personal_data(frame(spark, [], "doc_id long, text string")).collect() == []
