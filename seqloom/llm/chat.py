@@ -84,15 +84,15 @@ x AS (
 p AS (SELECT n.*, coalesce(x.i - 1, least(nc, nr)) AS prefix FROM n LEFT JOIN x USING (pair_id)),
 w AS (
   SELECT t.*, prefix,
-         coalesce(sum(length(head) + length(body)) OVER (PARTITION BY t.pair_id, odd ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+         coalesce(sum(length(head) + length(body)) OVER (PARTITION BY t.pair_id, odd ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
   FROM t JOIN p USING (pair_id) WHERE i > prefix)
 SELECT p.pair_id, prefix AS prefix_turns,
        coalesce((SELECT string_agg(head || body, '' ORDER BY i) FROM t WHERE t.pair_id = p.pair_id AND NOT odd AND i <= prefix), '') AS prompt,
        nc AS chosen_turns,
        coalesce((SELECT string_agg(head || body, '' ORDER BY i) FROM w WHERE w.pair_id = p.pair_id AND NOT odd), '') AS chosen,
-       coalesce((SELECT string_agg((at + length(head))::BIGINT || ':' || (at + length(head) + length(body))::BIGINT, ',' ORDER BY i) FROM w WHERE w.pair_id = p.pair_id AND NOT odd AND role = 'assistant'), '') AS chosen_mask,
+       coalesce((SELECT string_agg((pos + length(head))::BIGINT || ':' || (pos + length(head) + length(body))::BIGINT, ',' ORDER BY i) FROM w WHERE w.pair_id = p.pair_id AND NOT odd AND role = 'assistant'), '') AS chosen_mask,
        nr AS rejected_turns,
        coalesce((SELECT string_agg(head || body, '' ORDER BY i) FROM w WHERE w.pair_id = p.pair_id AND odd), '') AS rejected,
-       coalesce((SELECT string_agg((at + length(head))::BIGINT || ':' || (at + length(head) + length(body))::BIGINT, ',' ORDER BY i) FROM w WHERE w.pair_id = p.pair_id AND odd AND role = 'assistant'), '') AS rejected_mask
+       coalesce((SELECT string_agg((pos + length(head))::BIGINT || ':' || (pos + length(head) + length(body))::BIGINT, ',' ORDER BY i) FROM w WHERE w.pair_id = p.pair_id AND odd AND role = 'assistant'), '') AS rejected_mask
 FROM p
 """
