@@ -32,8 +32,8 @@ def mode(name: str) -> str:
 
 
 def bases(seq) -> Column:
-    """Upper case with U read as T; everything but A, C, G, T stays invalid."""
-    return F.translate(F.upper(_col(seq)), "U", "T")
+    """Upper case with U read as T; everything but A, C, G, T stays invalid, and lengths stay."""
+    return F.translate(_col(seq), "acgtuU", "ACGTTT")
 
 
 def two_bits(seq) -> Column:

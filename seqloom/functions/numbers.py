@@ -29,12 +29,12 @@ def fractional_bits_for(n) -> Column:
 
 def next_power(n) -> Column:
     """The least power of two that is n or more."""
-    return F.shiftleft(F.lit(1).cast("bigint"), bits_for(n))
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), bits_for(n))
 
 
 def previous_power(n) -> Column:
     """The greatest power of two that is n or less; n is 1 or more."""
-    return F.shiftleft(F.lit(1).cast("bigint"), F.length(F.bin(_col(n).cast("bigint"))) - 1)
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length(F.bin(_col(n).cast("bigint"))) - 1)
 
 
 def next_odd(n) -> Column:
