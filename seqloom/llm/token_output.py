@@ -1,8 +1,10 @@
 """Token ids in ORC files: run-length encoded integers, row indexes and Bloom filters on ids."""
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ ORC_OPTIONS = {
     "compression": "zstd",
 }
 #: Distinct words that a worker keeps the ids of.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -40,6 +42,8 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        # A task has one core; the library's own threads would only take others' time.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -49,16 +53,20 @@ class WordEncoder:
         self.place: dict[int, int] = {}
         self.lengths, self.firsts, self.ids, self.filled = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64), np.empty(1 << 14, np.int32), 0
 
+    @staticmethod
+    def _room(column: np.ndarray, size: int) -> np.ndarray:
+        return column if size <= len(column) else np.concatenate((column, np.empty(max(size, 2 * len(column)) - len(column), column.dtype)))
+
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        for h, e in zip(hashes.tolist(), self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            ids, n = e.ids, len(self.place)
-            if n == len(self.lengths):
-                self.lengths, self.firsts = (np.concatenate((x, np.empty_like(x))) for x in (self.lengths, self.firsts))
-            while self.filled + len(ids) > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
-            self.place[h], self.lengths[n], self.firsts[n] = n, len(ids), self.filled
-            self.ids[self.filled : self.filled + len(ids)] = ids
-            self.filled += len(ids)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        n, more, size = len(self.place), len(found), int(lengths.sum())
+        self.lengths, self.firsts, self.ids = self._room(self.lengths, n + more), self._room(self.firsts, n + more), self._room(self.ids, self.filled + size)
+        self.lengths[n : n + more] = lengths
+        self.firsts[n : n + more] = self.filled + np.cumsum(lengths) - lengths
+        self.ids[self.filled : self.filled + size] = np.fromiter(chain.from_iterable(found), np.int32, size)
+        self.filled += size
+        self.place.update(zip(hashes.tolist(), range(n, n + more)))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows one after another, rows' offsets in them)."""
@@ -69,7 +77,7 @@ class WordEncoder:
         distinct, index = coded.dictionary.to_numpy(), coded.indices.to_numpy()
         if len(self.place) > CACHE_WORDS:
             self._reset()
-        known = np.array([self.place.get(h, -1) for h in distinct.tolist()], np.int64)
+        known = np.fromiter(map(self.place.get, distinct.tolist(), repeat(-1)), np.int64, len(distinct))
         if (new := np.flatnonzero(known < 0)).size:
             first = np.full(len(distinct), -1)
             first[index[::-1]] = np.arange(len(index))[::-1]
