@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 
-#: Windows that one piece of a long sequence holds; pieces overlap by the window's span less one.
-PIECE = 1000
+#: Windows that one piece of a long sequence holds; pieces overlap by the window's span less one. Finding a letter
+#: in UTF-8 text walks from its start, so pieces are short.
+PIECE = 128
 
 
 def _pieces(df: DataFrame, seq: str, span: int, position: bool) -> DataFrame:

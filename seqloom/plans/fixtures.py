@@ -10,7 +10,8 @@ from ..functions import dna
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 MAPPED = ("ACGT" * 7)[:26]
 K, K_GENOME = 7, 5
-THRESHOLDS = [(g, s, 40 * g * g + 20 * s) for g in (1, 2) for s in range(4)]
+#: Solid values by k, as (group, sample, threshold).
+THRESHOLDS = {K: [(g, s, 40 * g * g + 20 * s) for g in (1, 2) for s in range(4)], K_GENOME: [(g, s, 100 * g + 40 * s) for g in (1, 2) for s in range(4)]}
 
 
 def as_dna(text) -> Column:
@@ -60,8 +61,8 @@ def samples(spark: SparkSession, d: str, k: int = K) -> DataFrame:
     return counted.select("grp", "sample", dna.code("kmer", k).alias("code"), counters.saturated(F.col("value"), 512).alias("value"))
 
 
-def thresholds(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(THRESHOLDS, "grp int, sample int, threshold int")
+def thresholds(spark: SparkSession, k: int = K) -> DataFrame:
+    return spark.createDataFrame(THRESHOLDS[k], "grp int, sample int, threshold int")
 
 
 # The same in SQL.
@@ -110,7 +111,7 @@ GENOMIC = f"{GENOME}, genomic_c AS MATERIALIZED {sql_counter('genome', K, nvalue
 
 def sql_samples(k: int) -> str:
     """reads must be defined; gives samples_c and pairs_c (code, c1, c2)."""
-    rows = ", ".join(map(str, THRESHOLDS))
+    rows = ", ".join(map(str, THRESHOLDS[k]))
     return f"""
 own AS (SELECT CASE WHEN lang = 'en' THEN 1 ELSE 2 END AS grp, (read_id % 4)::INTEGER AS sample, seq FROM reads),
 samples_c AS (SELECT grp, sample, {sql_code('kmer', k)} AS code, least(n, 511) AS value FROM

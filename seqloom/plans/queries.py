@@ -47,7 +47,9 @@ _SHAPE = (0, 1, 3, 4, 6)
 
 
 @query(
-    f"""WITH {fx.READS}, w AS (SELECT seq, unnest(range(1, length(seq) - 5)) AS i FROM reads WHERE length(seq) >= 7),
+    f"""WITH {fx.READS}, p AS (SELECT seq, unnest(range(0, length(seq) - 6, 400)) AS o FROM reads WHERE length(seq) >= 7),
+c0 AS MATERIALIZED (SELECT substr(seq, o::INTEGER + 1, 406) AS seq FROM p),
+w AS (SELECT seq, unnest(range(1, length(seq) - 5)) AS i FROM c0),
 k AS (SELECT {' || '.join(f'substr(seq, i + {o}, 1)' for o in _SHAPE)} AS kmer FROM w),
 c AS (SELECT {fx.sql_canonical('kmer', 'max')} AS kmer, count(*) AS n FROM k WHERE NOT regexp_matches(kmer, '[^ACGT]') GROUP BY 1)
 SELECT {fx.sql_code('kmer', 5)} AS code, least(n, 511) AS value FROM c"""
@@ -365,7 +367,7 @@ _PRESENT_A, _PRESENT_B = 4, 1
 
 
 def _track(spark, d):
-    pairs = compare.two_groups(fx.samples(spark, d, KG), fx.thresholds(spark))
+    pairs = compare.two_groups(fx.samples(spark, d, KG), fx.thresholds(spark, KG))
     return genome.pair_track(fx.genome(spark, d), pairs, fx.genomic(spark, d, KG), KG)
 
 
