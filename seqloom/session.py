@@ -1,4 +1,4 @@
-"""Makes the package known to executors that do not share the driver's path."""
+"""What a session needs before the package's operators run on its executors."""
 
 import os
 import tempfile
@@ -8,8 +8,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends the package's source to the executors, once for each Spark context."""
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch at most: whole texts in batches of the default 10,000 rows would fill executors' memory.
+BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Sends the package's source to the executors, once for each Spark context, and keeps Arrow batches small."""
+    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(ARROW_ROWS, BATCH_ROWS)
     context = spark.sparkContext
     if getattr(context, "_seqloom_shipped", False):
         return
