@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm import decontaminate, mixing, near_dedup, quality, token_output
 from seqloom.llm.scratch import Scratch
-from seqloom.session import ship
+from seqloom.session import prepare
 
 _used: list[Scratch] = []
 
@@ -20,13 +20,13 @@ def _scratch(spark: SparkSession, name: str) -> Scratch:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the quality rules keep."""
-    ship(spark)
+    prepare(spark)
     return quality.keep(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component: the one whose doc_id names it."""
-    ship(spark)
+    prepare(spark)
     found = near_dedup.near_duplicates(docs, _scratch(spark, "dedup"))
     gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone"))
     return docs.join(gone.distinct(), F.col("doc_id") == F.col("gone"), "left_anti")
@@ -34,19 +34,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents without benchmark items."""
-    ship(spark)
+    prepare(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as the mix does."""
-    ship(spark)
+    prepare(spark)
     return mixing.mixed(docs, _scratch(spark, "mix"))
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token files and returns what they hold of each row."""
-    ship(spark)
+    prepare(spark)
     return token_output.encoded(docs, _scratch(spark, "tokens"))
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time, unless one text is longer.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _rng = np.random.default_rng(20240607)
 _BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

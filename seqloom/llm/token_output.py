@@ -24,7 +24,7 @@ ORC_OPTIONS = {
     "compression": "zstd",
 }
 #: Distinct words that a worker keeps the ids of.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
