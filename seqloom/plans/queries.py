@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dna, numbers, text
 from ..operators import compare, counters, genes, genome, kmers, statistics
+from ..session import scratch_path
+from ..sources import sequences, tables
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -264,6 +266,31 @@ def verify_membership(spark, d):
     return counters.verify(fx.genome(spark, d), fx.bait(spark, d), K, observed=2, keep=["chrom"])
 
 
+# Files
+
+
+@query("SELECT 'read' || doc_id || ' x' AS header, md5(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS seq_md5 FROM documents WHERE length(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) > 0")
+def fasta_roundtrip(spark, d):
+    seq = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")
+    records = _table(spark, d, "documents").select(F.concat(F.lit("read"), F.col("doc_id"), F.lit(" x")).alias("header"), seq.alias("seq")).filter("seq <> ''")
+    sequences.write_fasta(records, path := scratch_path(spark, "fasta"))
+    return sequences.read_fasta(spark, path).select("header", F.md5("seq").alias("seq_md5"))
+
+
+@query("SELECT 'read' || doc_id AS header, length(s) AS size, md5(s) AS seq_md5 FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g') AS s FROM documents) WHERE length(s) > 0")
+def fastq_roundtrip(spark, d):
+    seq = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")
+    rows = _table(spark, d, "documents").select(F.concat(F.lit("read"), F.col("doc_id")).alias("header"), seq.alias("seq"), F.repeat(F.lit("I"), F.length(seq)).alias("qual")).filter("seq <> ''")
+    sequences.write_fastq(rows, path := scratch_path(spark, "fastq"))
+    return sequences.read_fastq(spark, path).select("header", F.length("qual").cast("bigint").alias("size"), F.md5("seq").alias("seq_md5"))
+
+
+@query(f"WITH {fx.CASE} SELECT code, value FROM case_c")
+def counter_roundtrip(spark, d):
+    tables.save_counter(fx.case(spark, d), path := scratch_path(spark, "counter"), counters.Parameters(K))
+    return tables.load_counter(spark, path)[0]
+
+
 # Comparisons
 
 

@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -27,3 +28,13 @@ def prepare(spark: SparkSession) -> None:
             archive.write(path, str(path.relative_to(package.parent)))
     context.addPyFile(os.path.join(folder, "seqloom_src.zip"))
     context._seqloom_shipped = True
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir; under a temporary one in local mode only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="seqloom-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -46,27 +46,36 @@ def _numbered_lines(spark: SparkSession, paths) -> DataFrame:
     return lines.join(starts, ["file", "part"]).select("file", (F.col("id") - F.col("first") + F.col("before")).alias("n"), "line")
 
 
+def _fastq_records(spark: SparkSession, paths) -> DataFrame:
+    """file, read_id, h, seq, p, qual: the four lines of each record; missing ones are null."""
+    lines = _numbered_lines(spark, paths).withColumn("read_id", F.floor(F.col("n") / 4)).withColumn("i", F.col("n") % 4)
+    pick = lambda i: F.max(F.when(F.col("i") == i, F.col("line")))
+    rows = lines.groupBy("file", "read_id").agg(pick(0).alias("h"), pick(1).alias("seq"), pick(2).alias("p"), pick(3).alias("qual"))
+    return rows.filter("NOT (trim(h) = '' AND seq IS NULL)")
+
+
+def _well_formed() -> Column:
+    after = lambda c: F.substring(c, 2, 1 << 30)
+    good = F.col("h").startswith("@") & F.col("p").startswith("+") & F.col("qual").isNotNull() & ((F.length("p") == 1) | (after("p") == after("h")))
+    return F.coalesce(good, F.lit(False))
+
+
 def read_fastq(spark: SparkSession, paths, dirty: bool = False) -> DataFrame:
     """file, read_id (in the file, from 0), header, seq, qual of each record of four lines.
 
     Unless dirty, a header without @, a third line without + or with another name, or a cut-off
     record is an error. A last record without final newline is kept.
     """
-    lines = _numbered_lines(spark, paths).withColumn("read_id", F.floor(F.col("n") / 4)).withColumn("i", F.col("n") % 4)
-    pick = lambda i: F.max(F.when(F.col("i") == i, F.col("line")))
-    rows = lines.groupBy("file", "read_id").agg(pick(0).alias("h"), pick(1).alias("seq"), pick(2).alias("p"), pick(3).alias("qual"))
-    rows = rows.filter("NOT (trim(h) = '' AND seq IS NULL)")
+    rows = _fastq_records(spark, paths)
     if not dirty:
-        good = F.col("h").startswith("@") & F.col("p").startswith("+") & F.col("qual").isNotNull() & ((F.length("p") == 1) | (F.substring("p", 2, 1 << 30) == F.substring("h", 2, 1 << 30)))
-        checked = F.when(F.coalesce(good, F.lit(False)), F.col("h")).otherwise(F.raise_error(F.concat(F.lit("malformed FASTQ record "), F.col("read_id").cast("string"), F.lit(" in "), F.col("file"))))
-        rows = rows.withColumn("h", checked)
+        error = F.raise_error(F.concat(F.lit("malformed FASTQ record "), F.col("read_id").cast("string"), F.lit(" in "), F.col("file")))
+        rows = rows.withColumn("h", F.when(_well_formed(), F.col("h")).otherwise(error))
     return rows.select("file", "read_id", F.substring("h", 2, 1 << 30).alias("header"), "seq", "qual")
 
 
-def fastq_report(reads_lines: DataFrame) -> DataFrame:
-    """file, records, bad: how many records of a dirty scan with h and p columns are malformed."""
-    bad = ~(F.col("h").startswith("@") & F.col("p").startswith("+"))
-    return reads_lines.groupBy("file").agg(F.count("*").alias("records"), F.count_if(bad).alias("bad"))
+def fastq_report(spark: SparkSession, paths) -> DataFrame:
+    """file, records, malformed: a validation report of FASTQ files."""
+    return _fastq_records(spark, paths).groupBy("file").agg(F.count("*").alias("records"), F.count_if(~_well_formed()).alias("malformed"))
 
 
 def pair_reads(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -322,3 +322,24 @@ def test_streams(spark, tmp_path):
     assert as_dict(spark.table("kmers")) == want
     counts.merge_batches(stream, 3, f"{tmp_path}/out", f"{tmp_path}/cp2").awaitTermination()
     assert as_dict(counts.load_batches(spark, f"{tmp_path}/out")) == want
+
+
+def test_commands(spark, tmp_path):
+    from seqloom.__main__ import parser, run
+
+    (tmp_path / "a.fq").write_text("@a\nACGACG\n+\nIIIIII\n@b\nTTTT\n+\nIIII\n")
+    (tmp_path / "f.fa").write_text(">a\nACGACG\n")
+
+    def call(*words):
+        return run(parser().parse_args([str(w) for w in words]), spark)
+
+    assert call("count", "-q", tmp_path / "a.fq", "-o", tmp_path / "c", "-k", 3, "--rcmode", "f", "-v", "count", 8) == 0
+    assert as_dict(tables.load_counter(spark, f"{tmp_path}/c")[0]) == brute(["ACGACG", "TTTT"], 3, "f", 8)
+    assert call("filtercount", "-f", tmp_path / "f.fa", "-o", tmp_path / "g", "-k", 3, "--rcmode", "f") == 0
+    assert as_dict(tables.load_counter(spark, f"{tmp_path}/g")[0]) == {code("ACG"): 2}
+    assert call("optimize", "-i", tmp_path / "c", "-o", tmp_path / "o", "-p", 2) == 0
+    assert call("dump", "-i", tmp_path / "o", "-o", tmp_path / "d", "--text", "--values", "2") == 0
+    assert {r.code for r in spark.read.csv(f"{tmp_path}/d", header=True).collect()} == {"ACG", "TTT"}
+    assert call("check", tmp_path / "a.fq") == 0
+    (tmp_path / "bad.fq").write_text("a\nA\n+\nI\n")
+    assert call("check", tmp_path / "bad.fq") == 1
