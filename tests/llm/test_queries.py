@@ -22,18 +22,3 @@ def test_query_matches_sql(spark, name):
     assert len(got) == len(want)
     clean = lambda x: [r.replace(".0,", ",").replace(".0]", "]") for r in x]
     assert clean(rows(got)) == clean(rows(want))
-
-
-def test_pipeline_stages_follow_their_operators(spark):
-    import corpus_pipeline
-
-    columns = spark.read.parquet(f"{PATH}/documents.parquet").columns
-    docs = spark.read.parquet(f"{PATH}/documents.parquet")
-    counts = [docs.count()]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = spark.createDataFrame(stage(spark, docs, PATH).toPandas(), docs.schema)
-        assert docs.columns == columns, name
-        counts.append(docs.count())
-    assert counts[0] > counts[1] > counts[2] > counts[3] > 0
-    last = corpus_pipeline.STAGES[-1][1](spark, docs, PATH)
-    assert last.count() == counts[-1]
