@@ -60,8 +60,8 @@ def histogram_2d_wide(pairs: DataFrame, columns: list[int]) -> DataFrame:
 
 def group_sizes(sequences: DataFrame, group: str, seq: str = "seq", offset: int = 0, override: int | None = None) -> DataFrame:
     """group, size: the sum of lengths plus offset, or a constant."""
-    size = F.lit(override) if override is not None else F.sum(F.length(seq) + offset)
-    return sequences.groupBy(group).agg(F.count("*").alias("n_sequences"), size.cast("bigint").alias("size")) if override is None else sequences.groupBy(group).agg(F.count("*").alias("n_sequences")).withColumn("size", F.lit(override).cast("bigint"))
+    total = F.sum(F.length(seq) + offset) if override is None else F.max(F.lit(override))
+    return sequences.groupBy(group).agg(F.count("*").alias("n_sequences"), total.cast("bigint").alias("size"))
 
 
 def size_bounds(sequences: DataFrame, seq: str = "seq") -> DataFrame:

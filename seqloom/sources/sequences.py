@@ -116,3 +116,16 @@ def write_fasta(records: DataFrame, path: str, width: int = 60) -> None:
 def write_fastq(reads: DataFrame, path: str) -> None:
     """Reads (header, seq, qual) as FASTQ."""
     reads.select(F.concat(F.lit("@"), "header", F.lit("\n"), "seq", F.lit("\n+\n"), "qual")).write.mode("overwrite").text(path)
+
+
+def resolve_fastq(single: list[str] | None = None, paired: list[str] | None = None) -> list[tuple[str, str | None]]:
+    """(file, mate or None) of each input; a paired one needs _R1, whose rightmost gives its mate's name."""
+    out: list[tuple[str, str | None]] = [(path, None) for path in single or []]
+    for path in paired or []:
+        head, mark, end = path.rpartition("_R1")
+        if not mark:
+            raise ValueError(f"{path} has no _R1")
+        out.append((path, f"{head}_R2{end}"))
+    if len({p for pair in out for p in pair if p}) < sum(1 + (b is not None) for _, b in out):
+        raise ValueError("a file is given twice")
+    return out

@@ -343,3 +343,38 @@ def test_commands(spark, tmp_path):
     assert call("check", tmp_path / "a.fq") == 0
     (tmp_path / "bad.fq").write_text("a\nA\n+\nI\n")
     assert call("check", tmp_path / "bad.fq") == 1
+
+
+def test_annotation_joins(spark):
+    bed = spark.createDataFrame([("NC_1", 9, 20, "gene=a;Dbxref=GeneID:1,miRBase:MI7"), ("NC_2", 4, 8, "Name=b c;"), ("NW_9", 1, 2, "gene=z")], "acc string, start0 long, end0 long, extra string")
+    accessions = spark.createDataFrame([("NC_1", "1"), ("NC_2", "MT")], "acc string, chrom string")
+    found = genes.bed_genes(bed, accessions)
+    assert {tuple(r) for r in found.collect()} == {("1", 10, 20, "a,MI7"), ("MT", 5, 8, "b_c")}
+    exons = spark.createDataFrame([("a,MI7", "1", 10, 12), ("a,MI7", "1", 12, 15), ("a,MI7", "1", 18, 20), ("a,MI7", "2", 1, 2)], "gene string, chrom string, start long, end long")
+    assert [tuple(r) for r in genes.exon_lines(found, exons).collect()] == [("a,MI7", "1:10-20", 2, "1:10-15 1:18-20")]
+
+
+def test_fastq_arguments():
+    assert sequences.resolve_fastq(["a.fq"], ["x_R1_y_R1.fq"]) == [("a.fq", None), ("x_R1_y_R1.fq", "x_R1_y_R2.fq")]
+    for bad in ((["a"], ["b"]), (["a", "a"], None), (["x_R2"], ["x_R1"])):
+        with pytest.raises(ValueError):
+            sequences.resolve_fastq(*bad)
+
+
+def test_gene_tables(spark, tmp_path):
+    rows = spark.createDataFrame([("g1", "1:1-10", 10, 1, 2), ("g2", "1:1-10", 10, 1, 3)], "gene string, region string, length long, n1 long, n2 long")
+    ranked = genes.ranked(rows.withColumn("rate1", F.lit(5)).withColumn("rate2", F.col("n2")), ["rate1", "n1", "rate2", "n2", "gene", "region", "length"])
+    tables.write_gene_table(ranked.coalesce(1), f"{tmp_path}/t")
+    assert [tuple(r) for r in tables.read_gene_table(spark, f"{tmp_path}/t").orderBy("rank").collect()] == [(1, 5, 3, "g2", "1:1-10", 10, 1, 3), (2, 5, 2, "g1", "1:1-10", 10, 1, 2)]
+
+
+def test_groups_and_histograms(spark):
+    samples = spark.createDataFrame([(1, 0, 7, 5), (1, 1, 7, 9), (2, 0, 7, 1), (2, 0, 8, 9)], "grp int, sample int, code long, value long")
+    limits = spark.createDataFrame([(1, 0, 5), (1, 1, 6), (2, 0, 2)], "grp int, sample int, threshold int")
+    pairs = compare.two_groups(samples, limits)
+    assert {tuple(r) for r in pairs.collect()} == {(7, 2, 0), (8, 0, 1)}
+    assert {tuple(r) for r in statistics.histogram_2d(pairs).collect()} == {(2, 0, 1, 50.0), (0, 1, 1, 50.0)}
+    assert {tuple(r) for r in statistics.histogram_2d_wide(pairs, [0, 1]).collect()} == {(2, 1, 0), (0, 0, 1)}
+    seqs = spark.createDataFrame([("a", "ACG"), ("a", "A"), ("b", "")], "grp string, seq string")
+    assert {tuple(r) for r in statistics.group_sizes(seqs, "grp", offset=1).collect()} == {("a", 2, 6), ("b", 1, 1)}
+    assert {tuple(r) for r in statistics.group_sizes(seqs, "grp", override=9).collect()} == {("a", 2, 9), ("b", 1, 9)}
