@@ -155,11 +155,14 @@ def _to_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, sets in shingle_sets(batch.column(1)):
-            registers = [r.tobytes() for r in wide_sketch(sets)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(registers, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["rep", "n", "registers", "set"],
-            )
+            at = [i for i, s in enumerate(sets) if len(s)]
+            sets = [sets[i] for i in at]
+            if sets:
+                columns = [wide_sketch(sets), band_keys(sketch(sets)), sets]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array([lo + i for i in at])), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([x.tobytes() for x in c], pa.binary()) for c in columns]],
+                    ["rep", "n", "registers", "keys", "set"],
+                )
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,9 +188,11 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _best_pairs(rep, comp, size, registers, side, k):
+def _best_pairs(band, rep, comp, size, registers, keys, side, k):
     """Plausible pairs of different components in one block; the k best of each two components (all if k is None).
 
+    Of a pair that shares several bands only the first one counts, so no pair is made twice.
+
     side: 0 or 1 if the block joins two blocks, whose inner pairs other blocks have; else all -1.
     """
     n, found, look = len(rep), [], np.ascontiguousarray(registers[:, :FIRST_LOOK])
@@ -201,6 +206,9 @@ def _best_pairs(rep, comp, size, registers, side, k):
                 a, b = ii[at : at + (1 << 13)], jj[at : at + (1 << 13)]
                 ok = (look[a] == look[b]).sum(axis=1) >= FIRST_EQUAL
                 a, b = a[ok], b[ok]
+                shared = keys[a] == keys[b]
+                ok = keys[a, shared.argmax(axis=1)] == band
+                a, b = a[ok], b[ok]
                 ok, est = plausible(size[a], size[b], registers[a], registers[b])
                 found.append((a[ok], b[ok], est[ok]))
     if not found:
@@ -226,12 +234,12 @@ def _block_pairs(k):
             key = np.stack([part.column(c).to_numpy() for c in ("band", "i", "j")])
             cuts = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [part.num_rows]))
             rep, comp, size, own = (part.column(c).to_numpy() for c in ("rep", "component", "n", "own"))
-            registers = _fixed(part.column("registers"), np.uint8)
+            registers, keys = _fixed(part.column("registers"), np.uint8), _fixed(part.column("keys"), np.int64)
             out = []
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 if hi - lo > 1:
                     side = np.full(hi - lo, -1) if key[1, lo] == key[2, lo] else (own[lo:hi] == key[2, lo]).astype(int)
-                    out.append(_best_pairs(rep[lo:hi], comp[lo:hi], size[lo:hi], registers[lo:hi], side, k))
+                    out.append(_best_pairs(key[0, lo], *[x[lo:hi] for x in (rep, comp, size, registers, keys)], side, k))
             a, b = (np.concatenate([x[t] for x in out] or [np.empty(0, np.int64)]) for t in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -284,9 +292,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     buckets = sc.save(bands.join(hubs, "band").distinct(), "buckets")
 
     active = buckets.select("rep").distinct()
-    sets = texts.withColumnRenamed("doc_id", "rep").join(active, "rep", "left_semi").mapInArrow(_to_sets, "rep long, n long, registers binary, set binary")
-    sets = sc.save(sets.filter("n > 0"), "sets")
-    sketches = sets.select("rep", "n", "registers")
+    sets = texts.withColumnRenamed("doc_id", "rep").join(active, "rep", "left_semi").mapInArrow(_to_sets, "rep long, n long, registers binary, keys binary, set binary")
+    sets = sc.save(sets, "sets")
+    sketches = sets.select("rep", "n", "registers", "keys")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         full = _attach(pairs, sets, {"set": ("sa", "sb")}).select("a", "b", "sa", "sb")
@@ -304,7 +312,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         rows = rows.select("band", "rep", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
         rows = rows.join(sketches, "rep").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-        rows = rows.select("band", "i", "j", "rep", "component", "n", "own", "registers")
+        rows = rows.select("band", "i", "j", "rep", "component", "n", "own", "registers", "keys")
         pairs = sc.save(rows.mapInArrow(_block_pairs(k), "a long, b long").distinct(), f"pairs-{i}")
         if pairs.isEmpty():
             break
