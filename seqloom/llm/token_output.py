@@ -33,12 +33,48 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[b for b in range(128) if chr(b).isalpha()]] = True
+# The second bytes of U+00C0 to U+00FF after 0xC3, without the multiplication and division signs.
+_LATIN = np.zeros(256, bool)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+_MARK = np.zeros(256, bool)
+_MARK[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'|"]] = True
+
+
+def _segments(words: textops.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends, rows' first segments and hashes of the words, each cut before the marks that end it.
+
+    The cut stands after a letter, where this tokenizer always cuts. Letters A-Z hash as a-z, as it
+    lower-cases. Words with a | are left as they are: they may hold special tokens.
+    """
+    data, starts, ends = words.data, words.starts, words.ends
+    inner = np.flatnonzero(~_MARK[data])
+    last = inner[np.maximum(np.searchsorted(inner, ends) - 1, 0)] if len(inner) else np.zeros(len(ends), np.int64)
+    bars = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(data == 124, out=bars[1:])
+    plain = bars[ends] == bars[starts]
+    latin = _LATIN[data[last]] & (last > starts) & (data[np.maximum(last - 1, 0)] == 0xC3)
+    cut = np.where(plain & (last >= starts) & (last < ends) & (_LETTER[data[last]] | latin), last + 1, ends)
+    has_tail = cut < ends
+    at = np.arange(len(starts)) + np.concatenate(([0], np.cumsum(has_tail)))[:-1]
+    n = len(starts) + int(has_tail.sum())
+    s, e, bar = np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, bool)
+    s[at], e[at], bar[at] = starts, cut, ~plain
+    s[at[has_tail] + 1], e[at[has_tail] + 1] = cut[has_tail], ends[has_tail]
+    h = textops.span_hashes(data, s, e, lower=True)
+    if bar.any():
+        h[bar] = textops.mix(textops.span_hashes(data, s[bar], e[bar]) ^ textops.WINDOW_FACTORS[60])
+    return s, e, np.append(at, n)[words.rows], h
+
+
 class WordEncoder:
-    """Ids of whole texts by a tokenizer whose tokens never join or depend on words across white space.
+    """Ids of whole texts by the lower-casing word tokenizer, whose tokens never depend on what is across white space.
 
-    Each distinct word is encoded once by the library; a text is its words' ids in order. A tokenizer
-    that sees white space (as byte-level ones do) must not be used here; `check` compares with whole
-    texts.
+    Each distinct word, without the marks that end it, is encoded once by the library; a text is
+    its segments' ids in order. A tokenizer that sees white space or case (as byte-level ones do)
+    must not be used here; `check` compares with whole texts.
     """
 
     def __init__(self, path: str):
@@ -73,7 +109,8 @@ class WordEncoder:
         words = textops.Words(data, offsets)
         if not len(words):
             return np.empty(0, np.int32), np.zeros(len(offsets), np.int64)
-        coded = pa.array(words.hashes()).dictionary_encode()
+        starts, ends, rows, h = _segments(words)
+        coded = pa.array(h).dictionary_encode()
         distinct, index = coded.dictionary.to_numpy(), coded.indices.to_numpy()
         if len(self.place) > CACHE_WORDS:
             self._reset()
@@ -82,13 +119,13 @@ class WordEncoder:
             first = np.full(len(distinct), -1)
             first[index[::-1]] = np.arange(len(index))[::-1]
             raw = data.tobytes()
-            self._learn(distinct[new], [raw[words.starts[i] : words.ends[i]].decode() for i in first[new]])
+            self._learn(distinct[new], [raw[starts[i] : ends[i]].decode() for i in first[new]])
             known[new] = np.arange(len(self.place) - len(new), len(self.place))
         entry = known[index]
         lengths = self.lengths[entry]
         stops = np.cumsum(lengths)
         ids = self.ids[np.repeat(self.firsts[entry] - (stops - lengths), lengths) + np.arange(stops[-1])]
-        return ids, np.concatenate(([0], stops))[words.rows]
+        return ids, np.concatenate(([0], stops))[rows]
 
     def check(self, text: str) -> bool:
         data, offsets = textops.text_bytes(pa.array([text]))

@@ -284,6 +284,15 @@ def test_orc_files_have_bloom_filters(spark):
     assert "PushedFilters" in plan and "EqualTo(doc_id,7)" in plan or "In(doc_id, [7])" in plan
 
 
+def test_segments_give_the_ids_of_whole_texts():
+    encoder = token_output._encoder(token_output.vocabulary_path())
+    rng = random.Random(8)
+    pieces = "don't Don'T 's it's, é, É! … a…, ×, ÷. ab× <|endoftext|> <|ENDOFTEXT|> x<|endoftext|>, <|startoftext|>. ́, é. A 1, a1. (b) [c]! _ a_ ß. Σ, 日, | a|b, , ' '' a', a' - a-b- I'LL! ½, aª,".split(" ") + [" ", " ", "\n", "\u00a0", "\u2003a ,"]
+    for _ in range(1500):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 12)))
+        assert encoder.check(text), text
+
+
 # Chat
 
 
