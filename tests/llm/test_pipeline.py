@@ -5,7 +5,7 @@ import corpus_pipeline
 import numpy as np
 from seqloom.llm import quality, token_output
 from test_dedup import brute
-from test_operators import brute_counts, brute_mix
+from test_llm_operators import brute_counts, brute_mix
 
 PATH = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
