@@ -46,11 +46,12 @@ _UNIT_HASHES = _unit_hashes()
 
 @dataclass
 class Tokens:
-    """Canonical hashes of the words of some rows, their raw hashes, and the rows' first words."""
+    """Canonical hashes of the words of some rows, their raw hashes, the rows' first words, and which words look like names."""
 
     canonical: np.ndarray
     raw: np.ndarray
     rows: np.ndarray
+    capital: np.ndarray
 
     @property
     def slots(self) -> np.ndarray:
@@ -83,15 +84,26 @@ def tokenize(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     raw = textops.span_hashes(data, starts, ends, lower=True)
     number = digits[ends] > digits[starts]
     head, second = data[starts], data[np.minimum(starts + 1, ends - 1)]
-    name = ~begins & (head >= 65) & (head <= 90) & (((second >= 97) & (second <= 122)) | (second >= 128))
+    capital = (head >= 65) & (head <= 90) & (((second >= 97) & (second <= 122)) | (second >= 128))
     canonical = raw.copy()
-    canonical[name] = _NAME
+    canonical[~begins & capital] = _NAME
     canonical[number] = _NUMBER
     after = np.flatnonzero(number) + 1
     after = after[after < len(raw)]
     unit = after[np.isin(raw[after], _UNIT_HASHES) & ~np.isin(after, rows[:-1])]
     canonical[unit] = _UNIT
-    return Tokens(canonical, raw, rows)
+    return Tokens(canonical, raw, rows, capital)
+
+
+def _first_forms(tokens: Tokens, k: int) -> Iterator[np.ndarray]:
+    """The first k canonical words of an item as they are where other words stand before it: its first word may be a name or a unit there."""
+    if tokens.canonical[0] == _NUMBER:
+        return
+    for slot, fits in ((_NAME, tokens.capital[0]), (_UNIT, np.isin(tokens.raw[0], _UNIT_HASHES))):
+        if fits:
+            form = tokens.canonical[:k].copy()
+            form[0] = slot
+            yield form
 
 
 def _usable(tokens: Tokens, at: np.ndarray, k: int) -> np.ndarray:
@@ -126,7 +138,13 @@ class Index:
             for number, tokens, h, at in entries:
                 for rank, (x, p) in enumerate(zip(h.tolist(), at.tolist())):
                     slots = tuple(np.flatnonzero(tokens.slots[p : p + k]).tolist())
-                    table[x].append((number, rank, p, slots, tuple(tokens.raw[p : p + k][list(slots)].tolist())))
+                    table[x].append((number, rank, p, slots, tuple(tokens.raw[p : p + k][list(slots)].tolist()), None))
+                    for form in _first_forms(tokens, k) if p == 0 else ():
+                        # With too few literals left the first word itself must be equal.
+                        fixed = int(tokens.raw[0]) if k - 1 - len(slots) < MIN_LITERALS else None
+                        own = (0, *slots)
+                        x_form = int(textops.windows(form, np.array([0, k]), k)[0][0])
+                        table[x_form].append((number, rank, p, own, tuple(tokens.raw[:k][list(own)].tolist()), fixed))
             keys = np.array(sorted(table), np.uint64)
             bits = np.zeros(1 << 16, bool)
             bits[keys & np.uint64(0xFFFF)] = True
@@ -143,8 +161,9 @@ class Index:
             diagonals = defaultdict(list)
             row_of = np.searchsorted(tokens.rows, at[hit], "right") - 1
             for row, p, x in zip(row_of.tolist(), at[hit].tolist(), h[hit].tolist()):
-                for number, rank, q, slots, values in table[x]:
-                    diagonals[row, number, p - q].append((rank, p, slots, values))
+                for number, rank, q, slots, values, fixed in table[x]:
+                    if fixed is None or tokens.raw[p] == fixed:
+                        diagonals[row, number, p - q].append((rank, p, slots, values))
             best: dict = {}
             for (row, number, _), found in diagonals.items():
                 for size, same in self._runs(sorted(found), tokens.raw):

@@ -140,6 +140,16 @@ def test_odd_benchmarks(spark):
     assert hits(spark, [ITEM], []) == {}
 
 
+def test_capitalised_items_are_found_after_other_words(spark):
+    words = "What is the capital city of Northern France and which rivers run there"
+    items = [(n, " ".join(words.split()[:n])) for n in (5, 8, 13)] + [(20, "Why did Rome fall early"), (21, "Miles of road lead to the sea")]
+    texts = [f"{before}{text}{after}" for _, text in items for before, after in (("", ""), ("foo bar ", " baz"), ("So. ", " baz"), ("all 12 ", ""))]
+    got = {k: r.same_slots for k, r in hits(spark, texts, items).items()}
+    for i, (n, _) in enumerate(items):
+        assert all(got[4 * i + j, n] for j in range(4)), n
+    assert hits(spark, ["foo Who did Rome fall early"], items[3:]) == {}
+
+
 # Quality
 
 
