@@ -1,4 +1,4 @@
-"""Benchmark decontamination by template windows with typed slots."""
+"""Benchmark decontamination by template windows with typed slots, and by the words themselves."""
 
 from collections import defaultdict
 from collections.abc import Iterator
@@ -17,6 +17,8 @@ WINDOW = 8
 MIN_LITERALS = 4
 #: Consecutive windows of an item, or all of a shorter one, that make a match.
 MIN_RUN = 6
+#: Words that make an exact match, those of MIN_RUN windows; a shorter item needs all of its words.
+EXACT = WINDOW + MIN_RUN - 1
 #: Bytes of benchmark text that are indexed and broadcast at a time; a larger benchmark takes several passes.
 BLOCK_BYTES = 32 << 20
 
@@ -46,19 +48,20 @@ _UNIT_HASHES = _unit_hashes()
 
 @dataclass
 class Tokens:
-    """Canonical hashes of the words of some rows, their raw hashes, the rows' first words, and which words look like names."""
+    """Canonical hashes of the words of some rows, their raw hashes, the rows' first words, which words look like names, and the hashes that exact matches compare."""
 
     canonical: np.ndarray
     raw: np.ndarray
     rows: np.ndarray
     capital: np.ndarray
+    exact: np.ndarray
 
     @property
     def slots(self) -> np.ndarray:
         return (self.canonical == _NUMBER) | (self.canonical == _NAME) | (self.canonical == _UNIT)
 
 
-def tokenize(data: np.ndarray, offsets: np.ndarray) -> Tokens:
+def tokenize(data: np.ndarray, offsets: np.ndarray, any_case: bool = True) -> Tokens:
     """Words without outer marks, lower-cased (A-Z); numbers, names and units become typed slots.
 
     A word with a digit is a number. A capital followed by a small letter is a name unless it
@@ -92,7 +95,7 @@ def tokenize(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     after = after[after < len(raw)]
     unit = after[np.isin(raw[after], _UNIT_HASHES) & ~np.isin(after, rows[:-1])]
     canonical[unit] = _UNIT
-    return Tokens(canonical, raw, rows, capital)
+    return Tokens(canonical, raw, rows, capital, raw if any_case else textops.span_hashes(data, starts, ends))
 
 
 def _first_forms(tokens: Tokens, k: int) -> Iterator[np.ndarray]:
@@ -112,22 +115,39 @@ def _usable(tokens: Tokens, at: np.ndarray, k: int) -> np.ndarray:
     return literal[at + k] - literal[at] >= MIN_LITERALS
 
 
+def _grams(words: np.ndarray, lengths: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, sums over the k words from each word on) by ascending length; sums hold until the next step and may cross rows."""
+    sums = np.zeros(len(words), np.uint64)
+    for j in range(min(max(lengths, default=0), len(words))):
+        sums = sums[: len(words) - j]
+        sums += words[j:] * textops.WINDOW_FACTORS[j]
+        if j + 1 in lengths:
+            yield j + 1, sums
+
+
 class Index:
-    """Template windows of benchmark items, by window length; equal items count as the first one."""
+    """Template windows and exact words of benchmark items, by length; equal items count as the first one."""
 
-    def __init__(self, item_ids: list, texts: list):
+    def __init__(self, item_ids: list, texts: list, any_case: bool = False):
         self.tables, self.need, self.total, self.ids = {}, {}, {}, {}
-        by_length = defaultdict(list)
-        seen = set()
+        self.any_case, self.exact, self.words = any_case, {}, []
+        by_length, grams, seen = defaultdict(list), defaultdict(list), {}
         for item, text in sorted(zip(item_ids, texts), key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
             data, offsets = textops.text_bytes(pa.array([text or ""]))
-            tokens = tokenize(data, offsets)
+            tokens = tokenize(data, offsets, any_case)
             k, mark = min(WINDOW, len(tokens.raw)), tokens.raw.tobytes()
-            if k < MIN_LITERALS or mark in seen:
+            if not k:
+                continue
+            number = seen.setdefault(mark, len(self.ids))
+            size = min(EXACT, len(tokens.raw))
+            for _, sums in _grams(tokens.exact, {size}):
+                grams[size].append((np.unique(sums), number))
+            if number in self.ids:
                 continue
-            seen.add(mark)
-            number = len(self.ids)
             self.ids[number] = item
+            self.words.append(len(tokens.raw))
+            if k < MIN_LITERALS:
+                continue
             h, at = textops.windows(tokens.canonical, tokens.rows, k)
             good = _usable(tokens, at, k)
             if good.any():
@@ -149,10 +169,48 @@ class Index:
             bits = np.zeros(1 << 16, bool)
             bits[keys & np.uint64(0xFFFF)] = True
             self.tables[k] = (keys, bits, table)
+        for k, entries in grams.items():
+            # Pairs of gram and item, once each, by gram.
+            sums = np.concatenate([x for x, _ in entries])
+            numbers = np.repeat([n for _, n in entries], [len(x) for x, _ in entries])
+            order = np.lexsort((numbers, sums))
+            sums, numbers = sums[order], numbers[order]
+            new = np.ones(len(sums), bool)
+            new[1:] = (sums[1:] != sums[:-1]) | (numbers[1:] != numbers[:-1])
+            sums, numbers = sums[new], numbers[new]
+            keys, first = np.unique(sums, return_index=True)
+            bits = np.zeros(1 << 16, bool)
+            bits[keys & np.uint64(0xFFFF)] = True
+            self.exact[k] = (keys, bits, np.append(first, len(sums)), numbers)
+
+    def _exact_matches(self, tokens: Tokens) -> dict[tuple[int, int], tuple[int, int]]:
+        """(row, number) -> most consecutive windows that stand in the item word for word, and all windows of the item."""
+        best: dict = {}
+        for k, sums in _grams(tokens.exact, set(self.exact)):
+            keys, bits, first, numbers = self.exact[k]
+            at = np.flatnonzero(bits[sums & np.uint64(0xFFFF)])
+            place = np.minimum(np.searchsorted(keys, sums[at]), len(keys) - 1)
+            row = np.searchsorted(tokens.rows, at, "right") - 1
+            good = (keys[place] == sums[at]) & (at + k <= tokens.rows[row + 1])
+            at, place, row = at[good], place[good], row[good]
+            if not len(at):
+                continue
+            n = first[place + 1] - first[place]
+            own = numbers[np.repeat(first[place] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            at, row = np.repeat(at, n), np.repeat(row, n)
+            order = np.lexsort((at, own))
+            at, row, own = at[order], row[order], own[order]
+            runs = np.flatnonzero(np.concatenate(([True], (np.diff(own) != 0) | (np.diff(at) != 1) | (np.diff(row) != 0))))
+            for r, number, size in zip(row[runs].tolist(), own[runs].tolist(), np.diff(np.append(runs, len(at))).tolist()):
+                width = min(WINDOW, self.words[number])
+                total = self.words[number] - width + 1
+                best[r, number] = max(best.get((r, number), (0, 0)), (min(size + k - width, total), total))
+        return best
 
     def matches(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, object, int, int, bool]]:
-        """(row, item id, matched windows, windows of the item, all slots equal) of each match."""
-        tokens = tokenize(data, offsets)
+        """(row, item id, matched windows, windows of the item, all slots equal) of each match, by templates, else by exact words."""
+        tokens = tokenize(data, offsets, self.any_case)
+        exact = self._exact_matches(tokens)
         for k, (keys, bits, table) in self.tables.items():
             h, at = textops.windows(tokens.canonical, tokens.rows, k)
             hit = np.flatnonzero(bits[h & np.uint64(0xFFFF)])
@@ -170,7 +228,10 @@ class Index:
                     if size >= self.need[number]:
                         best[row, number] = max(best.get((row, number), (0, False)), (size, same))
             for (row, number), (size, same) in sorted(best.items()):
+                exact.pop((row, number), None)
                 yield row, self.ids[number], size, self.total[number], same
+        for (row, number), (size, total) in sorted(exact.items()):
+            yield row, self.ids[number], size, total, True
 
     @staticmethod
     def _runs(found: list, raw: np.ndarray) -> Iterator[tuple[int, bool]]:
@@ -190,7 +251,7 @@ class Index:
             yield size, same
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[Index]:
+def _blocks(benchmark: DataFrame, any_case: bool) -> Iterator[Index]:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = 1 + 4 * size // BLOCK_BYTES
@@ -198,21 +259,23 @@ def _blocks(benchmark: DataFrame) -> Iterator[Index]:
         part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
         got = part.toPandas()
         ids = [None if x != x else int(x) for x in got["item_id"].tolist()]
-        yield Index(ids, [x if isinstance(x, str) else None for x in got["text"].tolist()])
+        yield Index(ids, [x if isinstance(x, str) else None for x in got["text"].tolist()], any_case)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, any_case: bool = False) -> DataFrame:
     """doc_id, item_id, matched windows, windows of the item and whether all slots are equal.
 
     One row for each row of docs (doc_id, text) and distinct benchmark item (item_id, text) of
-    which it holds MIN_RUN consecutive template windows, or all if there are fewer. Equal items
-    count as the one with the smallest id (a null id last); items under four words, or without a
-    window of four words that are no slots, match nothing. A null text is empty. A null doc_id
-    stays null; rows that repeat are matched each.
+    which it holds MIN_RUN consecutive template windows, or all if there are fewer, or EXACT
+    consecutive words as they stand, or all words of a shorter item. Templates take windows with
+    MIN_LITERALS words that are no slots; exact words have no such limit, and their case counts
+    unless any_case. A match by exact words only counts all windows of the item. Equal items count
+    as the one with the smallest id (a null id last); items without a word match nothing. A null
+    text is empty. A null doc_id stays null; rows that repeat are matched each.
     """
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, T.LongType()) for c in ("item_id", "matched_windows", "item_windows")], T.StructField("same_slots", T.BooleanType())])
     out = None
-    for index in _blocks(benchmark):
+    for index in _blocks(benchmark, any_case):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -229,10 +292,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no benchmark item."""
+def clean(docs: DataFrame, benchmark: DataFrame, any_case: bool = False) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no benchmark item as `contaminated` finds them."""
     at = docs.columns.index("text")
-    for index in _blocks(benchmark):
+    for index in _blocks(benchmark, any_case):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -150,6 +150,23 @@ def test_capitalised_items_are_found_after_other_words(spark):
     assert hits(spark, ["foo Who did Rome fall early"], items[3:]) == {}
 
 
+def test_exact_copies_are_always_found(spark):
+    items = [(1, "What is 12 plus 5"), (2, "Compute 12 + 7 - 3"), (3, "Two words"), (4, "Yes"), (5, "12 12 12 12 12 12 12 12 12 12"), (6, ITEM), (7, "and Anna, Peter, Maria, Oskar, Ludwig, Clara, Emil, Berta, Hugo, Greta, Felix, Paula, Otto, Frieda meet")]
+    texts = [f"see {t} again" for _, t in items] + [f"See {t.upper()} again" for _, t in items]
+    texts += ["What is 13 plus 5", "two other words", "12 " * 9, " ".join(ITEM.upper().split()[1:13]), " ".join(ITEM.upper().split()[1:14]), "x Two", "words x", "12 " * 30]
+    exact = {(i, item) for i, (item, _) in enumerate(items)}
+    cased = hits(spark, texts, items)
+    assert set(cased) == exact | {(11, 5), (21, 5)}
+    assert all(r.matched_windows == r.item_windows for r in cased.values())
+    docs, benchmark = frame(spark, list(enumerate(texts)), "doc_id long, text string"), frame(spark, items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs, benchmark, any_case=True).collect()}
+    left = {r.doc_id for r in decontaminate.clean(docs, benchmark, any_case=True).collect()}
+    assert left == set(range(len(texts))) - {k[0] for k in got}
+    assert set(got) == exact | {(7 + i, item) for i, item in exact} | {(18, 6), (21, 5)}
+    assert all(got[k] == r for k, r in cased.items())
+    assert got[18, 6].matched_windows == decontaminate.MIN_RUN and got[13, 7].matched_windows == got[13, 7].item_windows
+
+
 # Quality
 
 
