@@ -167,6 +167,16 @@ def test_exact_copies_are_always_found(spark):
     assert got[18, 6].matched_windows == decontaminate.MIN_RUN and got[13, 7].matched_windows == got[13, 7].item_windows
 
 
+def test_blocks_do_not_change_rows(spark, monkeypatch):
+    items = [(i, ITEM.upper() if i % 3 else f"{ITEM}.") for i in range(40, 20, -1)] + [(None, ITEM), (3, "five other words stand here"), (50, "five other words stand here!"), (51, None)]
+    texts = [ITEM, "so five other words stand here", "nothing"]
+    want = hits(spark, texts, items)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1000)
+    assert set(want) == {(0, 21), (1, 3)} and hits(spark, texts, items) == want
+    docs, benchmark = frame(spark, list(enumerate(texts)), "doc_id long, text string"), frame(spark, items, "item_id long, text string")
+    assert decontaminate.contaminated(docs, benchmark).count() == len(want)
+
+
 # Quality
 
 
