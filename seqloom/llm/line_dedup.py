@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from . import textops
 from .scratch import Scratch
 
-#: Distinct sites at which a line is boilerplate, and the fewest words of such a line.
+#: Distinct sites at which a line is boilerplate, and the fewest words of such a line unless told otherwise; 1 leaves out blank lines only.
 MIN_SITES, MIN_WORDS = 4, 3
 #: log2 of the registers of a sketch.
 PRECISION = 6
@@ -22,20 +22,20 @@ NEAR = 2.0
 BROADCAST_LINES = 1_000_000
 
 
-def _lines(column: pa.Array):
+def _lines(column: pa.Array, min_words: int):
     """(first row, bytes, starts, ends, rows' first lines, hashes, has enough words) of runs of rows."""
     for lo, hi, data, offsets in textops.chunks(column):
         starts, ends, rows = textops.line_spans(data, offsets)
         words = textops.Words(data, offsets)
-        full = np.searchsorted(words.starts, ends) - np.searchsorted(words.starts, starts) >= MIN_WORDS
+        full = np.searchsorted(words.starts, ends) - np.searchsorted(words.starts, starts) >= max(min_words, 1)
         yield lo, data, starts, ends, rows, textops.span_hashes(data, starts, ends).view(np.int64), full
 
 
-def _line_sites(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _line_sites(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     """text, site hash -> the distinct (line, site) of each run of rows."""
     for batch in batches:
         sites = batch.column(1).to_numpy()
-        for lo, _, _, _, rows, h, full in _lines(batch.column(0)):
+        for lo, _, _, _, rows, h, full in _lines(batch.column(0), min_words):
             site = np.repeat(sites[lo : lo + len(rows) - 1], np.diff(rows))
             pairs = np.unique(np.stack([h[full], site[full]]), axis=1) if full.any() else np.empty((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["line", "site"])
@@ -63,13 +63,13 @@ def spread(sites: DataFrame) -> DataFrame:
     return merged.select("line", F.when((raw <= 2.5 * m) & (F.col("filled") < m), linear).otherwise(raw).alias("estimate"))
 
 
-def boilerplate(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES) -> DataFrame:
-    """line: the hashes of lines that stand at min_sites distinct sites or more.
+def boilerplate(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
+    """line: the hashes of lines of min_words words or more that stand at min_sites distinct sites or more.
 
-    docs has text and site. A null site is a site of its own.
+    docs has text and site. A null site is a site of its own. Blank lines never count.
     """
     hashed = docs.select("text", F.coalesce(F.xxhash64(F.col("site").cast("string")), F.lit(0)).alias("site"))
-    pairs = scratch.save(hashed.mapInArrow(_line_sites, "line long, site long"), "pairs")
+    pairs = scratch.save(hashed.mapInArrow(lambda batches: _line_sites(batches, min_words), "line long, site long"), "pairs")
     estimates = scratch.save(spread(pairs).filter(F.col("estimate") >= min_sites / NEAR), "estimates")
     sure = estimates.filter(F.col("estimate") > min_sites * NEAR).select("line")
     near = estimates.filter(F.col("estimate") <= min_sites * NEAR).select("line")
@@ -77,9 +77,9 @@ def boilerplate(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES) -
     return scratch.save(sure.unionByName(counted), "boilerplate")
 
 
-def _stripped(column: pa.Array, known) -> Iterator[tuple[list, list, list]]:
+def _stripped(column: pa.Array, known, min_words: int) -> Iterator[tuple[list, list, list]]:
     """(lines, removed lines, text that is left) of runs of rows; known(hashes) tells boilerplate."""
-    for _, data, starts, ends, rows, h, full in _lines(column):
+    for _, data, starts, ends, rows, h, full in _lines(column, min_words):
         gone = full & known(h)
         raw, kept, removed = data.tobytes(), [], []
         for a, b in zip(rows[:-1].tolist(), rows[1:].tolist()):
@@ -89,10 +89,10 @@ def _stripped(column: pa.Array, known) -> Iterator[tuple[list, list, list]]:
         yield np.diff(rows).tolist(), removed, kept
 
 
-def remove_boilerplate(docs: DataFrame, lines: DataFrame) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed and the text that is left of every row of docs.
 
-    Lines are split at \\n; lines of fewer than MIN_WORDS words stay. A null text has one empty
+    Lines are split at \\n; lines of fewer than min_words words stay. A null text has one empty
     line. Every occurrence of a boilerplate line goes. Other columns are not read; rows that
     repeat are treated each.
     """
@@ -105,7 +105,7 @@ def remove_boilerplate(docs: DataFrame, lines: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 lo = 0
-                for total, removed, kept in _stripped(batch.column(1), get(batch)):
+                for total, removed, kept in _stripped(batch.column(1), get(batch), min_words):
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(kept)), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], schema.names)
                     lo += len(kept)
 
@@ -131,7 +131,7 @@ def remove_boilerplate(docs: DataFrame, lines: DataFrame) -> DataFrame:
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for lo, _, _, _, firsts, h, full in _lines(batch.column(1)):
+            for lo, _, _, _, firsts, h, full in _lines(batch.column(1), min_words):
                 row = np.repeat(ids[lo : lo + len(firsts) - 1], np.diff(firsts))
                 yield pa.RecordBatch.from_arrays([pa.array(row[full]), pa.array(h[full])], ["row", "line"])
 

@@ -282,6 +282,19 @@ def test_line_dedup(spark):
     assert joined == got
 
 
+def test_short_lines_are_removed_if_told(spark):
+    rows = [(i, f"own line {i} here\nHome\n\n \t\nLog in\n" + ("rare" if i < 3 else ""), f"s{i}") for i in range(6)]
+    docs = frame(spark, rows, "doc_id long, text string, site string")
+    lines = line_dedup.boilerplate(docs, Scratch(spark, "t"), min_words=1)
+    got = {r.doc_id: r for r in line_dedup.remove_boilerplate(docs, lines, min_words=1).collect()}
+    assert all(got[i].text == f"own line {i} here\n\n \t\n" + ("rare" if i < 3 else "") and got[i].n_removed == 2 for i in range(6))
+    limit, line_dedup.BROADCAST_LINES = line_dedup.BROADCAST_LINES, 0
+    try:
+        assert {r.doc_id: r for r in line_dedup.remove_boilerplate(docs, lines, min_words=1).collect()} == got
+    finally:
+        line_dedup.BROADCAST_LINES = limit
+
+
 def test_spread_estimates(spark):
     pairs = spark.range(3000).selectExpr("id % 3 as line", "case id % 3 when 0 then id % 9 when 1 then id % 100 else id end as site")
     true = {0: 3, 1: 100, 2: 1000}
