@@ -16,7 +16,7 @@ from .scratch import Scratch
 MIN_SITES, MIN_WORDS = 4, 3
 #: log2 of the registers of a sketch.
 PRECISION = 6
-#: Estimates within this factor of the threshold are counted exactly; five standard errors and more.
+#: Lines at two sites or more are counted exactly unless their estimate is above the threshold by this factor, five standard errors and more.
 NEAR = 2.0
 #: Boilerplate lines that are broadcast; beyond it lines are joined.
 BROADCAST_LINES = 1_000_000
@@ -42,10 +42,10 @@ def _line_sites(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[p
 
 
 def spread(sites: DataFrame) -> DataFrame:
-    """line, estimate: HyperLogLog estimates of the distinct sites of each line of (line, site).
+    """line, estimate, several: HyperLogLog estimates of the distinct sites of each line of (line, site), and whether there are two at least.
 
-    A sketch is its non-empty registers, a row each; sketches merge by the greatest value of each
-    register, which is a partial aggregation before the shuffle.
+    A sketch is its non-empty registers, a row each, with the least and greatest site; sketches merge
+    by the greatest value of each register, which is a partial aggregation before the shuffle.
     """
     m = 1 << PRECISION
     h = F.xxhash64("site")
@@ -55,12 +55,12 @@ def spread(sites: DataFrame) -> DataFrame:
     # The position of the first one bit: log2 of a long below 2**58 is exact enough at powers of two here.
     width = F.length(F.bin(rest))
     rank = F.when(rest == 0, bits + 1).otherwise(bits - width + 1).cast("short")
-    registers = sites.groupBy("line", register.alias("register")).agg(F.max(rank).alias("rank"))
-    merged = registers.groupBy("line").agg(F.count("*").alias("filled"), F.sum(F.pow(F.lit(2.0), -F.col("rank"))).alias("inverse"))
+    registers = sites.groupBy("line", register.alias("register")).agg(F.max(rank).alias("rank"), F.min("site").alias("low"), F.max("site").alias("high"))
+    merged = registers.groupBy("line").agg(F.count("*").alias("filled"), F.sum(F.pow(F.lit(2.0), -F.col("rank"))).alias("inverse"), (F.min("low") != F.max("high")).alias("several"))
     alpha = 0.7213 / (1 + 1.079 / m)
     raw = F.lit(alpha * m * m) / (F.col("inverse") + (m - F.col("filled")))
     linear = F.lit(float(m)) * F.log(F.lit(float(m)) / (m - F.col("filled")))
-    return merged.select("line", F.when((raw <= 2.5 * m) & (F.col("filled") < m), linear).otherwise(raw).alias("estimate"))
+    return merged.select("line", F.when((raw <= 2.5 * m) & (F.col("filled") < m), linear).otherwise(raw).alias("estimate"), "several")
 
 
 def boilerplate(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -70,7 +70,7 @@ def boilerplate(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES, m
     """
     hashed = docs.select("text", F.coalesce(F.xxhash64(F.col("site").cast("string")), F.lit(0)).alias("site"))
     pairs = scratch.save(hashed.mapInArrow(lambda batches: _line_sites(batches, min_words), "line long, site long"), "pairs")
-    estimates = scratch.save(spread(pairs).filter(F.col("estimate") >= min_sites / NEAR), "estimates")
+    estimates = scratch.save(spread(pairs).filter(F.col("several") | F.lit(min_sites < 2)), "estimates")
     sure = estimates.filter(F.col("estimate") > min_sites * NEAR).select("line")
     near = estimates.filter(F.col("estimate") <= min_sites * NEAR).select("line")
     counted = pairs.join(near, "line", "left_semi").distinct().groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites).select("line")

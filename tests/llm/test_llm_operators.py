@@ -295,6 +295,16 @@ def test_short_lines_are_removed_if_told(spark):
         line_dedup.BROADCAST_LINES = limit
 
 
+def test_sites_of_one_register(spark):
+    register = F.expr(f"pmod(xxhash64(xxhash64(cast(id as string))), {1 << line_dedup.PRECISION})")
+    sites = [str(r.id) for r in spark.range(2000).filter(register == 7).limit(4).collect()]
+    rows = [(i, "one line for all\n" + ("one for three" if i else ""), s) for i, s in enumerate(sites)] + [(9, "alone at one site\nalone at one site", "x")]
+    docs = frame(spark, rows, "doc_id long, text string, site string")
+    left = line_dedup.remove_boilerplate(docs, line_dedup.boilerplate(docs, Scratch(spark, "t"))).collect()
+    assert {r.doc_id: r.n_removed for r in left} == {0: 1, 1: 1, 2: 1, 3: 1, 9: 0}
+    assert line_dedup.boilerplate(docs, Scratch(spark, "t"), min_sites=1).count() == 3
+
+
 def test_spread_estimates(spark):
     pairs = spark.range(3000).selectExpr("id % 3 as line", "case id % 3 when 0 then id % 9 when 1 then id % 100 else id end as site")
     true = {0: 3, 1: 100, 2: 1000}
