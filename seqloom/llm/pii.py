@@ -88,6 +88,8 @@ _IS_DIGIT = np.zeros(256, bool)
 _IS_DIGIT[48:58] = True
 _IS_CORE = np.zeros(256, bool)
 _IS_CORE[[b for b in range(256) if b >= 128 or chr(b).isalnum() or chr(b) in "+(["]] = True
+#: A bracketed at or dot inside a word.
+_BRACKETED = re.compile(rb"[(\[{<](?:at|dot)[)\]}>]", re.I)
 DIGIT_STEPS = np.array([1, 2, 3, 4, 5, 7, 9, 10, 11, 13, 16, 17, 20])
 
 
@@ -219,6 +221,14 @@ def labelled_table(seed: int = 5, rows: int = 400) -> list[tuple[str, list[str]]
         tokens += (after := [name() for _ in range(rng.integers(0, 5))])
         tags += ["other"] * len(after)
         table.append((" ".join(tokens), tags))
+    # Addresses written out without blanks, one word each, among other words.
+    for _ in range(rows):
+        a, b = pick("()", "[]", "{}", "<>")
+        host = pick("example", "mail", "post") + number(rng.integers(0, 2))
+        value = name() + pick("", "." + name()) + f"{a}at{b}{host}" + pick(f"{a}dot{b}", ".") + pick("com", "org", "net") + pick("", "", "", "", ".", ",")
+        before = [pick(name(), name().capitalize(), *LEXICON["mail"]) for _ in range(rng.integers(0, 6))]
+        after = [name() for _ in range(rng.integers(0, 6))]
+        table.append((" ".join([*before, value, *after]), ["other"] * len(before) + ["email"] + ["other"] * len(after)))
     return table
 
 
@@ -285,12 +295,15 @@ def default_field() -> Field:
 
 
 def _sequences(words: textops.Words, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word indexes of all sequences, cuts): words within REACH of a word with a digit, an @, or a written-out at or dot, in its line."""
+    """(word indexes of all sequences, cuts): words within REACH of a word with a digit, an @, or a written-out at or dot, alone or bracketed inside the word, in its line."""
     mark = np.zeros(len(data) + 1, np.int64)
     np.cumsum(_IS_DIGIT[data] | (data == 64), out=mark[1:])
     flag = mark[words.ends] > mark[words.starts]
     place = _find(_LEXICON_KEYS, words.hashes(lower=True))
     flag |= (place >= 0) & (_LEXICON_IDS[np.maximum(place, 0)] <= 2)
+    inner = np.array([m.start() for m in _BRACKETED.finditer(data.tobytes())], np.int64)
+    # Such a mark holds no space, so it lies inside the last word that begins before it or with it.
+    flag[np.searchsorted(words.starts, inner, "right") - 1] = True
     found = np.flatnonzero(flag)
     cover = np.zeros(len(words) + 1, np.int64)
     np.add.at(cover, np.maximum(found - REACH, 0), 1)

@@ -427,3 +427,12 @@ def test_personal_data_rows(spark):
     assert got[2].spans == got[None].spans == "" and got[2].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert got[3].spans == "email:2:8,ip:9:16" and got[5].spans == "email:9:35"
     assert pii.personal_data(frame(spark, [], "doc_id long, text string")).collect() == []
+
+
+def test_written_out_addresses_without_blanks(spark):
+    texts = ["write to jane(at)example(dot)com today", "her mail is jane[at]host.org", "Ask Bob.Smith{AT}mail{DOT}net, please", "no (at) sign or f(at) here", "x<at>y", "plain words only"]
+    got = {r.doc_id: r.spans for r in pii.personal_data(frame(spark, list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = {0: "jane(at)example(dot)com", 1: "jane[at]host.org", 2: "Bob.Smith{AT}mail{DOT}net"}
+    for i, text in enumerate(texts):
+        at = text.find(want.get(i, " "))
+        assert got[i] == (f"email:{at}:{at + len(want[i])}" if i in want else ""), (text, got[i])
