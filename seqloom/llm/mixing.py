@@ -107,7 +107,9 @@ def mixed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     plan = scratch.save(thresholds(rows, sources, scratch), "plan")
     joined = docs.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
     copies = (F.col("p.repeats") + (id_hash("d.doc_id") < F.col("p.cut")).cast("long")).cast("int")
-    return joined.select("d.*", F.explode(F.array_repeat(F.lit(0), copies))).drop("col")
+    # Not the name of any column of docs, in any case.
+    fresh = "copy" + "_" * max(map(len, docs.columns))
+    return joined.select("d.*", F.explode(F.array_repeat(F.lit(0), copies)).alias(fresh)).drop(fresh)
 
 
 ORACLE = """

@@ -105,6 +105,12 @@ def test_mix_meets_targets(spark):
     assert {s: n for s, n in copies.items() if n} == {s: n for s, n in taken.items() if n}
 
 
+def test_mixed_keeps_all_columns(spark):
+    docs = frame(spark, [(i, "a b", "s", f"c{i}", i, "z") for i in range(5)], "doc_id long, text string, source string, col string, copy int, hash string")
+    got = mixing.mixed(docs, Scratch(spark, "t"))
+    assert got.columns == docs.columns and sorted(got.collect()) == sorted(docs.collect())
+
+
 def test_mix_of_nothing(spark):
     schema = "doc_id long, text string, source string"
     assert mixing.mix(frame(spark, [], schema), Scratch(spark, "t")).collect() == []
