@@ -7,6 +7,7 @@ set sizes discards hopeless ones, and every link is confirmed on the full sets.
 never become pairs.
 """
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,8 @@ RATE = 20.0
 BAND_BASE, WIDE_BASE = 1.001, 1.2
 #: Candidates whose log-likelihood at or above the threshold is this far below its maximum are dropped.
 LIKELIHOOD_GAP = 14.0
-#: Members of one bucket that are compared at a time.
-BLOCK = 2048
+#: Members of a block; a larger bucket is compared in pairs of blocks.
+BLOCK = 1024
 
 _rng = np.random.default_rng(77001)
 _FACTORS = _rng.integers(1, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -129,18 +130,21 @@ def _fixed(column: pa.Array, dtype) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].reshape(n, -1).view(dtype)
 
 
-def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
+def _print(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
 
+def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, mark, text -> and the size, print and registers of the text's set."""
     for batch in batches:
-        for lo, sets in shingle_sets(batch.column(1)):
+        for lo, sets in shingle_sets(batch.column(2)):
             full = [s for s in sets if len(s)]
             registers = iter(sketch(full) if full else ())
-            prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            prints = [_print(s) if len(s) else None for s in sets]
             marks = [next(registers).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(marks, pa.binary())],
-                ["doc_id", "n_shingles", "print", "registers"],
+                [*[batch.column(i).slice(lo, len(sets)) for i in (0, 1)], pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(marks, pa.binary())],
+                ["doc_id", "mark", "n_shingles", "print", "registers"],
             )
 
 
@@ -153,9 +157,10 @@ def _to_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rep, print, text -> the sets that have this print, with their sketches."""
     for batch in batches:
-        for lo, sets in shingle_sets(batch.column(1)):
-            at = [i for i, s in enumerate(sets) if len(s)]
+        for lo, sets in shingle_sets(batch.column(2)):
+            at = [i for i, (s, p) in enumerate(zip(sets, batch.column(1).slice(lo, len(sets)).to_pylist())) if len(s) and _print(s) == p]
             sets = [sets[i] for i in at]
             if sets:
                 columns = [wide_sketch(sets), band_keys(sketch(sets)), sets]
@@ -266,67 +271,123 @@ def _attach(pairs: DataFrame, side: DataFrame, columns: dict[str, tuple[str, str
     return pairs
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text).
+def _blocks(member: DataFrame, counts: DataFrame) -> DataFrame:
+    """band, rep, component, own, i, j: each member in every pair of blocks in which it meets other components.
 
-    Texts are compared as sets of distinct 5-word shingles of their lower-cased (A-Z) words; with
-    fewer words the whole sequence is the one shingle. Documents whose sets have a similarity of
-    0.75 or more are linked; component_id is the smallest doc_id reachable; kept says that it is
-    the row's own. Null and wordless texts have an empty set and link with nothing. Rows that
-    repeat a doc_id are one node with several sets and are all kept or all not. A row without
-    doc_id links with nothing, has no component_id and is kept. Other columns are not read.
-
-    Equal sets form a class, whose smallest doc_id stands for it. Bands link each member of a
-    bucket with the bucket's smallest one; what stays apart in a bucket is then compared by
-    sketch in blocks, the best pairs of each two components first and in the last round all.
+    A bucket of BLOCK members or fewer is one block. In a larger one a component of more than a
+    quarter of a block has blocks of its own, of which no two meet, and the others share blocks;
+    so one huge component costs a bucket as many rows as it has strangers' blocks, not its square.
     """
-    spark, sc = docs.sparkSession, scratch
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = sc.save(texts.mapInArrow(_base, "doc_id long, n_shingles long, print binary, registers binary"), "base")
-    classes = sc.save(
-        base.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")),
-        "classes",
-    )
+    member = member.join(counts, "band")
+    zero = F.lit(0).cast("long")
+    small = member.filter(F.col("c") <= BLOCK).select("band", "rep", "component", zero.alias("own"), zero.alias("i"), zero.alias("j"))
+    sizes = member.filter(F.col("c") > BLOCK).groupBy("band", "component").agg(F.count("*").alias("n"))
+    large = 4 * F.col("n") > BLOCK
+    rest = sizes.groupBy("band").agg(F.ceil(F.sum(F.when(large, 0).otherwise(F.col("n"))) / BLOCK).alias("shared"))
+    deal = lambda column, n: F.pmod(F.xxhash64(column), F.greatest(n, F.lit(1)))
+    own = F.when(large, F.xxhash64("component", deal("rep", F.ceil(F.col("n") / BLOCK)))).otherwise(deal("component", F.col("shared")))
+    group = F.when(large, F.col("component")).otherwise(F.lit(-1).cast("long"))
+    big = member.filter(F.col("c") > BLOCK).join(sizes, ["band", "component"]).join(rest, "band").select("band", "rep", "component", group.alias("group"), own.alias("own"))
+    blocks = big.select("band", "group", "own").distinct()
+    groups = blocks.select("band", "group").distinct()
+    meet = groups.withColumnRenamed("group", "g").join(groups.withColumnRenamed("group", "h"), "band").filter("g < h OR g = h AND g = -1")
+    for end, place in (("g", "i"), ("h", "j")):
+        meet = meet.join(blocks.select("band", F.col("group").alias(end), F.col("own").alias(place)), ["band", end])
+    meet = meet.filter("g < h OR i <= j").select("band", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    ends = meet.withColumn("own", F.explode(F.array_distinct(F.array("i", "j"))))
+    return small.unionByName(big.join(ends, ["band", "own"]).select(*small.columns))
+
+
+def _classes(docs: DataFrame, sc: Scratch, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, mark, n_shingles, print of each row; print, rep, rep_mark, component_id, component_mark of each set).
+
+    mark is a hash of the text. rep and rep_mark name the least row that has the set, component_id
+    and component_mark that of all sets linked with it. by_id: sets of one doc_id are linked too.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    base = sc.save(texts.mapInArrow(_base, "doc_id long, mark long, n_shingles long, print binary, registers binary"), "base")
+    full = base.filter("doc_id IS NOT NULL AND n_shingles > 0")
+    classes = full.groupBy("print").agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.first("registers").alias("registers"))
+    # Numbers of the classes hold once the table is written.
+    classes = sc.save(classes.select(F.monotonically_increasing_id().alias("rep"), "print", F.col("least.doc_id").alias("doc_id"), F.col("least.mark").alias("mark"), "registers"), "classes")
     bands = classes.select("rep", "registers").mapInArrow(_to_bands, "band long, rep long")
     hubs = bands.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("last > hub").drop("last")
     buckets = sc.save(bands.join(hubs, "band").distinct(), "buckets")
 
-    active = buckets.select("rep").distinct()
-    sets = texts.withColumnRenamed("doc_id", "rep").join(active, "rep", "left_semi").mapInArrow(_to_sets, "rep long, n long, registers binary, keys binary, set binary")
+    active = classes.select("rep", "print", "doc_id", "mark").join(buckets.select("rep").distinct(), "rep").hint("shuffle_hash")
+    sets = texts.join(active, ["doc_id", "mark"]).select("rep", "print", "text").mapInArrow(_to_sets, "rep long, n long, registers binary, keys binary, set binary")
     sets = sc.save(sets, "sets")
     sketches = sets.select("rep", "n", "registers", "keys")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        full = _attach(pairs, sets, {"set": ("sa", "sb")}).select("a", "b", "sa", "sb")
-        return sc.save(full.mapInArrow(_linked, "a long, b long").distinct(), name)
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _attach(pairs, sets, {"set": ("sa", "sb")}).select("a", "b", "sa", "sb").mapInArrow(_linked, "a long, b long")
 
     stars = buckets.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     stars = _attach(stars, sketches, {"n": ("na", "nb"), "registers": ("ra", "rb")}).select("a", "b", "na", "nb", "ra", "rb")
-    edges = verified(stars.mapInArrow(_likely, "a long, b long").distinct(), "edges-0")
+    edges = verified(stars.mapInArrow(_likely, "a long, b long"))
+    if by_id:
+        repeated = full.groupBy("doc_id").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).filter("lo <> hi").select("doc_id")
+        own = full.select("doc_id", "print").join(repeated, "doc_id").join(classes.select("print", "rep"), "print").groupBy("doc_id", "rep").agg(F.lit(1))
+        least = own.groupBy("doc_id").agg(F.min("rep").alias("a"))
+        edges = edges.unionByName(own.join(least, "doc_id").select("a", F.col("rep").alias("b")))
     found = components(edges, sc, "links-0")
     for i, k in enumerate((1, None), 1):
+        # Buckets with members of one component only are done with.
         member = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
-        counts = member.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).filter("lo < hi")
-        blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-        rows = member.join(counts.select("band", blocks.alias("nb")), "band").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        rows = rows.select("band", "rep", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        rows = rows.join(sketches, "rep").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+        counts = member.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).filter("lo < hi").select("band", "c")
+        rows = _blocks(member, counts).join(sketches, "rep").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
         rows = rows.select("band", "i", "j", "rep", "component", "n", "own", "registers", "keys")
-        pairs = sc.save(rows.mapInArrow(_block_pairs(k), "a long, b long").distinct(), f"pairs-{i}")
-        if pairs.isEmpty():
-            break
-        more = verified(pairs, f"edges-{i}")
-        if more.isEmpty():
-            continue
-        edges = edges.unionByName(more)
-        found = components(edges, sc, f"links-{i}")
-    found = sc.save(found, "found")
-    label = classes.select("print", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    label = sc.save(label.select("print", F.coalesce("component", "rep").alias("component_id")), "labels")
-    sc.drop("classes", "buckets", "sets", "found", *[f"{x}-{i}" for x in ("pairs", "edges") for i in range(3)])
-
-    out = base.select("doc_id", "n_shingles", "print").join(label, "print", "left")
+        more = sc.save(verified(rows.mapInArrow(_block_pairs(k), "a long, b long").distinct()), f"edges-{i}")
+        if not more.isEmpty():
+            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), sc, f"links-{i}")
+    least = F.min(F.struct("doc_id", "mark"))
+    linked = classes.select("rep", "print", "doc_id", "mark").join(found.withColumnRenamed("node", "rep"), "rep")
+    names = linked.groupBy("component").agg(least.alias("least"))
+    label = linked.join(names, "component").select("rep", F.col("least.doc_id").alias("component_id"), F.col("least.mark").alias("component_mark"))
+    label = classes.select("rep", "print", "doc_id", "mark").join(label, "rep", "left")
+    label = label.select("print", F.coalesce("component_id", "doc_id").alias("component_id"), F.when(F.col("component_id").isNull(), F.col("mark")).otherwise(F.col("component_mark")).alias("component_mark"))
+    sc.drop("buckets", "sets", "edges-1", "edges-2")
+    return base.select("doc_id", "mark", "n_shingles", "print"), label
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text).
+
+    Texts are compared as sets of distinct 5-word shingles of their lower-cased (A-Z) words; with
+    fewer words the whole sequence is the one shingle. Documents whose sets have a similarity of
+    0.75 or more are linked; component_id is the smallest doc_id reachable; kept says that it is
+    the row's own. Null and wordless texts have an empty set and link with nothing. Rows that
+    repeat a doc_id are one node with several sets: they share one component_id and are all kept
+    or all not, but for those with an empty set. A row without doc_id links with nothing, has no
+    component_id and is kept. Texts of any length are compared whole. Other columns are not read.
+
+    Equal sets form a class. Bands link each member of a bucket with the bucket's first one; what
+    stays apart in a bucket is then compared by sketch in blocks, the best pairs of each two
+    components first and in the last round all.
+    """
+    base, label = _classes(docs, scratch, True)
+    out = base.join(label.select("print", "component_id"), "print", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    # A repeated doc_id may have sets in several classes of one component, or one without words.
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+
+
+def distinct_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of docs, with all their columns, that stay if one of each group of near-duplicates does.
+
+    Here rows are compared, not ids: rows that repeat a doc_id with different texts are different
+    documents. Of a group the row with the smallest doc_id stays, then that with the smallest hash
+    of its text, and of rows that agree in both the least by all columns. Rows without doc_id or
+    words all stay.
+    """
+    base, label = _classes(docs, scratch, False)
+    rows = base.filter("doc_id IS NOT NULL").join(label, "print")
+    is_first = (F.col("doc_id") == F.col("component_id")) & (F.col("mark") == F.col("component_mark"))
+    rows = rows.groupBy("doc_id", "mark").agg(F.min(is_first).alias("first"), F.count("*").alias("n"))
+    gone = scratch.save(rows.filter("NOT first OR n > 1").select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"), "first"), "gone")
+    same = (F.col("doc_id").cast("long") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_mark"))
+    out = docs.join(gone.drop("first").hint("shuffle_hash"), same, "left_anti")
+    again = gone.filter("first").drop("first")
+    if again.isEmpty():
+        return out
+    one = docs.join(again, same, "left_semi").groupBy(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_mark")).agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("_row"))
+    return out.unionByName(one.select("_row.*"))

@@ -1,35 +1,26 @@
 """Intermediate tables in the folder that driver and executors share."""
 
-import atexit
-import shutil
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_root = None
+from ..session import scratch_path
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one in local mode only."""
-    global _local_root
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="seqloom-")
-        atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
-    return f"file://{_local_root}"
+_owners: list[list["Scratch"]] = []
 
 
 class Scratch:
-    """Tables written once, so lost executors and lazy plans never recompute or change them."""
+    """Tables written once, so lost executors and lazy plans never recompute or change them.
+
+    They go with the driver's JVM, or when `drop` says so: a lazy result may still need them.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = scratch_path(spark, name)
+        if _owners:
+            _owners[-1].append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -44,3 +35,14 @@ class Scratch:
         for target in [self.path(n) for n in names] or [self.root]:
             path = jvm.org.apache.hadoop.fs.Path(target)
             path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def dropped() -> Iterator[None]:
+    """Deletes the scratch folders made inside it at its end; what needs them must be written by then."""
+    _owners.append([])
+    try:
+        yield
+    finally:
+        for scratch in _owners.pop():
+            scratch.drop()

@@ -136,3 +136,52 @@ def test_words_and_lines_match_plain_python():
                 assert [bytes(data[starts[i] : ends[i]]).decode() for i in range(rows[r], rows[r + 1])] == text.split("\n")
     h = textops.Words(*textops.text_bytes(pa.array(["Ab ab", "ab", "ba ab"]))).hashes(lower=True)
     assert h[0] == h[1] == h[2] == h[4] != h[3]
+
+
+def test_repeated_ids_are_one_node(spark):
+    a, b = "one text of eight words stands right here", "quite another text of as many words here"
+    got = {(r.doc_id, r.component_id, r.kept) for r in dedup(spark, [(4, a), (4, b), (2, b), (9, a)])}
+    assert got == {(4, 2, False), (2, 2, True), (9, 2, False)}
+
+
+def test_distinct_documents_are_rows(spark):
+    a, b = "one text of eight words stands right here", "quite another text of as many words here"
+    rows = [(4, a, 1), (4, b, 2), (2, b, 3), (2, b, 1), (9, a.upper(), 4), (None, a, 5), (None, a, 5), (7, None, 6), (7, None, 6), (7, " ", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark int")
+    got = near_dedup.distinct_documents(docs, Scratch(spark, "t"))
+    assert got.columns == docs.columns
+    want = [(4, a, 1), (2, b, 1), (None, a, 5), (None, a, 5), (7, None, 6), (7, None, 6), (7, " ", 7)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    empty = spark.createDataFrame([], docs.schema)
+    assert near_dedup.distinct_documents(empty, Scratch(spark, "t")).collect() == []
+
+
+@pytest.mark.parametrize("block", [1, 2, 7])
+def test_blocks_of_any_size_give_the_same_components(spark, monkeypatch, block):
+    # Star links alone leave several components to a bucket; all pairs of blocks then have to be met.
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(11)
+    rows = []
+    for g in range(3):
+        centre = [f"w{g}x{i}" for i in range(60)]
+        rows.append((900 + g, " ".join(centre)))
+        for n in range(25):
+            copy = list(centre)
+            copy[5 + n % 50] = f"x{n}"
+            if n % 2:
+                copy[(25 + n) % 50] = f"y{n}"
+            rows.append((100 * g + n, " ".join(copy)))
+    rng.shuffle(rows)
+    want = brute(rows)
+    assert {r.doc_id: r.component_id for r in dedup(spark, rows)} == want
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(12)
+    words = [f"v{rng.randrange(10**6)}" for _ in range(150_000)]
+    near = list(words)
+    for i in range(0, len(near), 40):
+        near[i] = "other"
+    rows = [(1, " ".join(near)), (2, " ".join(words)), (3, "v" * 1_500_000), (4, "V" * 1_500_000)]
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in dedup(spark, rows)}
+    assert got == {1: (1, len(shingles(rows[0][1]))), 2: (1, len(shingles(rows[1][1]))), 3: (3, 1), 4: (3, 1)}

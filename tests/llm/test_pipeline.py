@@ -76,3 +76,11 @@ def test_pipeline_of_no_documents(spark, tmp_path):
     for table in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{PATH}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_a_stage_over_an_unread_one(spark):
+    docs = spark.read.parquet(f"{PATH}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    unread = stages["near_dedup"](spark, docs, PATH)
+    mixed = stages["mixing"](spark, stages["decontamination"](spark, unread, PATH), PATH)
+    assert stages["token_output"](spark, mixed, PATH).count() == mixed.count() > 0
