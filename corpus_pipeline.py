@@ -4,20 +4,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import decontaminate, mixing, near_dedup, quality, token_output
-from seqloom.llm.scratch import Scratch
+from seqloom.llm.scratch import Scratch, dropped
 from seqloom.session import prepare
 
-_used: list[Scratch] = []
-
-
-def _scratch(spark: SparkSession, name: str) -> Scratch:
-    """A scratch folder; those of earlier stages go, whose results have been written by now."""
-    while _used:
-        _used.pop().drop()
-    _used.append(Scratch(spark, name))
-    return _used[-1]
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the quality rules keep."""
     prepare(spark)
@@ -25,11 +14,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component: the one whose doc_id names it."""
+    """Keeps one row of each group of near-duplicates, that with the smallest doc_id; rows that repeat an id with other texts are compared each."""
     prepare(spark)
-    found = near_dedup.near_duplicates(docs, _scratch(spark, "dedup"))
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone"))
-    return docs.join(gone.distinct(), F.col("doc_id") == F.col("gone"), "left_anti")
+    return near_dedup.distinct_documents(docs, Scratch(spark, "dedup"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,13 +28,13 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as the mix does."""
     prepare(spark)
-    return mixing.mixed(docs, _scratch(spark, "mix"))
+    return mixing.mixed(docs, Scratch(spark, "mix"))
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token files and returns what they hold of each row."""
     prepare(spark)
-    return token_output.encoded(docs, _scratch(spark, "tokens"))
+    return token_output.encoded(docs, Scratch(spark, "tokens"))
 
 
 STAGES = [
@@ -63,11 +50,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each result is written and read again for the next stage."""
+    """The stages over documents; each result is written and read again for the next stage, and then its predecessor goes.
+
+    Stages called one by one keep their scratch tables, which their lazy results need, until the driver ends.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = Scratch(spark, "pipeline")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = out.save(docs, f"{i}-{name}")
-    return docs
+    out, before = Scratch(spark, "pipeline"), None
+    for name, stage in STAGES[:-1]:
+        with dropped():
+            docs = out.save(stage(spark, docs, sf_dir), name)
+        if before:
+            out.drop(before)
+        before = name
+    return STAGES[-1][1](spark, docs, sf_dir)
