@@ -1,5 +1,6 @@
 """Token ids in ORC files: run-length encoded integers, row indexes and Bloom filters on ids."""
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -23,8 +24,8 @@ ORC_OPTIONS = {
     "orc.stripe.size": str(16 << 20),
     "compression": "zstd",
 }
-#: Distinct words that a worker keeps the ids of.
-CACHE_WORDS = 500_000
+#: Distinct words that a worker keeps the ids of, and words that are encoded as one text.
+CACHE_WORDS, JOINED_WORDS = 500_000, 1000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -69,40 +70,101 @@ def _segments(words: textops.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return s, e, np.append(at, n)[words.rows], h
 
 
+# How a tokenizer file must be made for its tokens never to depend on what is across white space.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def drops_white_space(tokenizer) -> bool:
+    """Is it made of the parts that WordEncoder relies on, with no special token without a |?"""
+    made = json.loads(tokenizer.to_str())
+    model = made["model"]
+    return (
+        (made["normalizer"] or {}).get("normalizers") == _NORMALIZERS
+        and (made["pre_tokenizer"] or {}).get("pretokenizers") == [_SPLIT, _BYTES]
+        and all("|" in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in made["added_tokens"])
+        and not any(made[x] for x in ("post_processor", "truncation", "padding"))
+        and model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not (model["dropout"] or model["continuing_subword_prefix"] or model["unk_token"] or model["ignore_merges"])
+    )
+
+
+def _latin_only(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which spans hold nothing but A-Z, a-z and U+00C0 to U+00FF without the two signs."""
+    good = _LETTER[data]
+    pair = np.flatnonzero((data[:-1] == 0xC3) & _LATIN[data[1:]])
+    good[pair] = good[pair + 1] = True
+    sums = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(good, out=sums[1:])
+    return sums[ends] - sums[starts] == ends - starts
+
+
+class TextEncoder:
+    """Ids of whole texts by any tokenizer, text by text."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows one after another, rows' offsets in them)."""
+        raw = data.tobytes()
+        texts = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.empty(0, np.int32), *found]), np.concatenate(([0], np.cumsum([len(x) for x in found], dtype=np.int64)))
+
+
 class WordEncoder:
-    """Ids of whole texts by the lower-casing word tokenizer, whose tokens never depend on what is across white space.
+    """Ids of whole texts by a tokenizer that `drops_white_space`, so that words can be encoded apart.
 
     Each distinct word, without the marks that end it, is encoded once by the library; a text is
-    its segments' ids in order. A tokenizer that sees white space or case (as byte-level ones do)
-    must not be used here; `check` compares with whole texts.
+    its segments' ids in order. Words of Latin letters only, each one token run whose last token
+    ends a word, are encoded many at a time as one text.
     """
 
-    def __init__(self, path: str):
-        # A task has one core; the library's own threads would only take others' time.
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        ends = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        for token, number in tokenizer.get_vocab(with_added_tokens=False).items():
+            ends[number] = token.endswith("</w>")
+        self.ends_word = ends
         self._reset()
 
     def _reset(self):
         self.place: dict[int, int] = {}
         self.lengths, self.firsts, self.ids, self.filled = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64), np.empty(1 << 14, np.int32), 0
+        self.known = 0
 
     @staticmethod
     def _room(column: np.ndarray, size: int) -> np.ndarray:
         return column if size <= len(column) else np.concatenate((column, np.empty(max(size, 2 * len(column)) - len(column), column.dtype)))
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of each one's)."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        n, more, size = len(self.place), len(found), int(lengths.sum())
-        self.lengths, self.firsts, self.ids = self._room(self.lengths, n + more), self._room(self.firsts, n + more), self._room(self.ids, self.filled + size)
-        self.lengths[n : n + more] = lengths
-        self.firsts[n : n + more] = self.filled + np.cumsum(lengths) - lengths
-        self.ids[self.filled : self.filled + size] = np.fromiter(chain.from_iterable(found), np.int32, size)
-        self.filled += size
-        self.place.update(zip(hashes.tolist(), range(n, n + more)))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum())), lengths
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes], latin: np.ndarray) -> None:
+        """Adds words; latin tells which have Latin letters only. Numbers are given in the order: these, then others."""
+        plain, other = np.flatnonzero(latin), np.flatnonzero(~latin)
+        parts = []
+        for lo in range(0, len(plain), JOINED_WORDS):
+            own = plain[lo : lo + JOINED_WORDS]
+            ids, _ = self._library([b" ".join([words[i] for i in own]).decode()])
+            stops = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(stops) != len(own) or stops[-1] != len(ids):
+                raise ValueError("the tokenizer does not end words as WordEncoder expects")
+            parts.append((ids, np.diff(stops, prepend=0)))
+        if len(other):
+            parts.append(self._library([words[i].decode() for i in other]))
+        for ids, lengths in parts:
+            n, more, size = self.known, len(lengths), len(ids)
+            self.lengths, self.firsts, self.ids = self._room(self.lengths, n + more), self._room(self.firsts, n + more), self._room(self.ids, self.filled + size)
+            self.lengths[n : n + more] = lengths
+            self.firsts[n : n + more] = self.filled + np.cumsum(lengths) - lengths
+            self.ids[self.filled : self.filled + size] = ids
+            self.filled, self.known = self.filled + size, n + more
+        self.place.update(zip(hashes[np.concatenate((plain, other))].tolist(), range(self.known - len(words), self.known)))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows one after another, rows' offsets in them)."""
@@ -118,23 +180,29 @@ class WordEncoder:
         if (new := np.flatnonzero(known < 0)).size:
             first = np.full(len(distinct), -1)
             first[index[::-1]] = np.arange(len(index))[::-1]
-            raw = data.tobytes()
-            self._learn(distinct[new], [raw[starts[i] : ends[i]].decode() for i in first[new]])
-            known[new] = np.arange(len(self.place) - len(new), len(self.place))
+            raw, at = data.tobytes(), first[new]
+            self._learn(distinct[new], [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())], _latin_only(data, starts[at], ends[at]))
+            known[new] = np.fromiter(map(self.place.__getitem__, distinct[new].tolist()), np.int64, len(new))
         entry = known[index]
         lengths = self.lengths[entry]
         stops = np.cumsum(lengths)
         ids = self.ids[np.repeat(self.firsts[entry] - (stops - lengths), lengths) + np.arange(stops[-1])]
         return ids, np.concatenate(([0], stops))[rows]
 
-    def check(self, text: str) -> bool:
-        data, offsets = textops.text_bytes(pa.array([text]))
-        return self.encode(data, offsets)[0].tolist() == self.tokenizer.encode(text, add_special_tokens=False).ids
+
+def encoder(path: str) -> TextEncoder | WordEncoder:
+    """Of a tokenizer file, by words where its parts allow that."""
+    # A task has one core; the library's own threads would only take others' time.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return (WordEncoder if drops_white_space(tokenizer) else TextEncoder)(tokenizer)
 
 
 @lru_cache(2)
-def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def _encoder(path: str) -> TextEncoder | WordEncoder:
+    return encoder(path)
 
 
 def _with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
