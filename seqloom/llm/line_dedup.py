@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from . import textops
 from .scratch import Scratch
 
-#: Distinct sites at which a line is boilerplate, and the fewest words of such a line unless told otherwise; 1 leaves out blank lines only.
-MIN_SITES, MIN_WORDS = 4, 3
+#: Distinct sites at which a line is boilerplate, and the fewest words of such a line: 1 leaves out blank lines only.
+MIN_SITES, MIN_WORDS = 4, 1
 #: log2 of the registers of a sketch.
 PRECISION = 6
 #: Lines at two sites or more are counted exactly unless their estimate is above the threshold by this factor, five standard errors and more.
@@ -66,7 +66,8 @@ def spread(sites: DataFrame) -> DataFrame:
 def boilerplate(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
     """line: the hashes of lines of min_words words or more that stand at min_sites distinct sites or more.
 
-    docs has text and site. A null site is a site of its own. Blank lines never count.
+    docs has text and site. A null site is a site of its own. Blank lines never count. A line that
+    repeats at one site counts as one there. Without rows or sites enough the result is empty.
     """
     hashed = docs.select("text", F.coalesce(F.xxhash64(F.col("site").cast("string")), F.lit(0)).alias("site"))
     pairs = scratch.save(hashed.mapInArrow(lambda batches: _line_sites(batches, min_words), "line long, site long"), "pairs")
@@ -92,9 +93,9 @@ def _stripped(column: pa.Array, known, min_words: int) -> Iterator[tuple[list, l
 def remove_boilerplate(docs: DataFrame, lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed and the text that is left of every row of docs.
 
-    Lines are split at \\n; lines of fewer than min_words words stay. A null text has one empty
-    line. Every occurrence of a boilerplate line goes. Other columns are not read; rows that
-    repeat are treated each.
+    Lines are split at \\n; blank lines and those of fewer than min_words words stay. A null text has
+    one empty line. Every occurrence of a boilerplate line goes, in texts of any length. Other
+    columns are not read; rows that repeat are treated each; without rows there is no result row.
     """
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("text", T.StringType())])
     spark = docs.sparkSession
@@ -112,7 +113,7 @@ def remove_boilerplate(docs: DataFrame, lines: DataFrame, min_words: int = MIN_W
         return run
 
     if n <= BROADCAST_LINES:
-        shared = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in lines.toLocalIterator()], np.int64)))
+        shared = spark.sparkContext.broadcast(np.sort(lines.toPandas()["line"].to_numpy(np.int64)))
 
         def get(_):
             def known(h):
@@ -125,18 +126,24 @@ def remove_boilerplate(docs: DataFrame, lines: DataFrame, min_words: int = MIN_W
 
         return rows.mapInArrow(run_with(get), schema)
 
-    # Too many to broadcast: each row gets the boilerplate among its own lines by a join.
-    keyed = rows.withColumn("row", F.monotonically_increasing_id())
+    # Too many to broadcast: each text gets the boilerplate among its own lines by a join on its hash.
+    # Texts of one hash would get each other's lines, which are boilerplate all the same.
+    keyed = rows.withColumn("key", F.xxhash64("text"))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            keys = batch.column(0).to_numpy()
             for lo, _, _, _, firsts, h, full in _lines(batch.column(1), min_words):
-                row = np.repeat(ids[lo : lo + len(firsts) - 1], np.diff(firsts))
-                yield pa.RecordBatch.from_arrays([pa.array(row[full]), pa.array(h[full])], ["row", "line"])
+                key = np.repeat(keys[lo : lo + len(firsts) - 1], np.diff(firsts))
+                yield pa.RecordBatch.from_arrays([pa.array(key[full]), pa.array(h[full])], ["key", "line"])
 
-    own = keyed.select("row", "text").mapInArrow(explode, "row long, line long").distinct().join(lines, "line", "left_semi").groupBy("row").agg(F.collect_set("line").alias("own"))
-    return keyed.join(own, "row", "left").select("doc_id", "text", "own").mapInArrow(run_with(lambda batch: lambda h: np.isin(h, batch.column(2).flatten().to_numpy())), schema)
+    own = keyed.select("key", "text").mapInArrow(explode, "key long, line long").distinct().join(lines, "line", "left_semi").groupBy("key").agg(F.collect_list("line").alias("own"))
+    return keyed.join(own, "key", "left").select("doc_id", "text", "own").mapInArrow(run_with(_own_lines), schema)
+
+
+def _own_lines(batch: pa.RecordBatch):
+    every = np.unique(batch.column(2).flatten().to_numpy())
+    return lambda h: np.isin(h, every)
 
 
 ORACLE = f"""

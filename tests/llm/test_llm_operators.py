@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from seqloom.llm import chat, decontaminate, line_dedup, mixing, pii, quality, token_counts, token_output, warc
+from seqloom.llm import chat, decontaminate, line_dedup, mixing, pii, quality, textops, token_counts, token_output, warc
 from seqloom.llm.scratch import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -278,7 +278,7 @@ def test_line_dedup(spark):
     docs = frame(spark, rows, "doc_id long, text string, site string, line string")
     lines = line_dedup.boilerplate(docs, Scratch(spark, "t"))
     got = {r.doc_id: r for r in line_dedup.remove_boilerplate(docs, lines).collect()}
-    assert got[0].text == f"own line 0 here\nhi\n{rare}" and got[0].n_removed == 1 and got[0].n_lines == 4
+    assert got[0].text == f"own line 0 here\n{rare}" and got[0].n_removed == 2 and got[0].n_lines == 4
     assert got[6].text == "" and got[7].text == "" and got[8].text == rare and got[None].text == "x y z"
     limit, line_dedup.BROADCAST_LINES = line_dedup.BROADCAST_LINES, 0
     try:
@@ -288,7 +288,7 @@ def test_line_dedup(spark):
     assert joined == got
 
 
-def test_short_lines_are_removed_if_told(spark):
+def test_short_lines_are_removed_unless_told(spark):
     rows = [(i, f"own line {i} here\nHome\n\n \t\nLog in\n" + ("rare" if i < 3 else ""), f"s{i}") for i in range(6)]
     docs = frame(spark, rows, "doc_id long, text string, site string")
     lines = line_dedup.boilerplate(docs, Scratch(spark, "t"), min_words=1)
@@ -299,6 +299,25 @@ def test_short_lines_are_removed_if_told(spark):
         assert {r.doc_id: r for r in line_dedup.remove_boilerplate(docs, lines, min_words=1).collect()} == got
     finally:
         line_dedup.BROADCAST_LINES = limit
+    kept = line_dedup.remove_boilerplate(docs, line_dedup.boilerplate(docs, Scratch(spark, "t"), min_words=2), min_words=2).collect()
+    assert all("Home" in r.text and "Log in" not in r.text for r in kept)
+
+
+def test_odd_line_tables(spark, monkeypatch):
+    schema = "doc_id long, text string, site string, own string, line long"
+    long = "\n".join(f"line {i}" for i in range(200_000))
+    rows = [(i % 2, t, f"s{i}", "x", i) for i, t in enumerate([long, long, "line 5\nonly here", None, "line 7\nline 7", "line 7", "line 5", "line 5", "line 5", "line 7"])]
+    rows += rows[2:5]
+    for limit in (line_dedup.BROADCAST_LINES, 0):
+        monkeypatch.setattr(line_dedup, "BROADCAST_LINES", limit)
+        docs = frame(spark, rows, schema)
+        got = line_dedup.remove_boilerplate(docs, line_dedup.boilerplate(docs, Scratch(spark, "t"))).collect()
+        left = "\n".join(x for x in long.split("\n") if x not in ("line 5", "line 7"))
+        want = [(i % 2, 200_000, 2, left) for i in (0, 1)] + [(0, 2, 1, "only here"), (1, 1, 0, ""), (0, 2, 2, "")] * 2 + [(1, 1, 1, ""), (0, 1, 1, ""), (1, 1, 1, ""), (0, 1, 1, ""), (1, 1, 1, "")]
+        assert sorted(map(tuple, got)) == sorted(want)
+        none = frame(spark, [], schema)
+        assert line_dedup.remove_boilerplate(none, line_dedup.boilerplate(none, Scratch(spark, "t"))).collect() == []
+        assert line_dedup.remove_boilerplate(none, frame(spark, [(1,)], "line long")).collect() == []
 
 
 def test_sites_of_one_register(spark):
@@ -350,13 +369,45 @@ def test_orc_files_have_bloom_filters(spark):
     assert "PushedFilters" in plan and "EqualTo(doc_id,7)" in plan or "In(doc_id, [7])" in plan
 
 
+def ids_of(encoder, texts):
+    ids, cuts = encoder.encode(*textops.text_bytes(pa.array(texts, pa.string())))
+    return [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def test_very_long_texts_are_encoded_whole():
+    encoder, rng = token_output.encoder(token_output.vocabulary_path()), random.Random(3)
+    texts = ["x" * 20_000, " ".join("".join(rng.choice("abcé1.") for _ in range(rng.randint(1, 9))) for _ in range(60_000)), "", None, "a\n" * 100_000]
+    assert ids_of(encoder, texts) == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    import json
+
+    words = token_output.vocabulary_path()
+    assert isinstance(token_output.encoder(words), token_output.WordEncoder)
+    made = json.load(open(words))
+    for name, change in {"case": {"normalizer": None}, "space": {"pre_tokenizer": {"type": "Whitespace"}}, "marker": {"added_tokens": [{**made["added_tokens"][0], "content": "abc"}]}}.items():
+        (tmp_path / name).write_text(json.dumps({**made, **change}))
+        assert isinstance(token_output.encoder(str(tmp_path / name)), token_output.TextEncoder), name
+    encoder = token_output.encoder(token_output.vocabulary_path("byte_bpe_50k.json"))
+    texts = ["Two  words", "", None, "é\n\n x"]
+    assert isinstance(encoder, token_output.TextEncoder)
+    assert ids_of(encoder, texts) == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_token_files_with_other_columns(spark):
+    docs = frame(spark, [(2, "b c", 7, "x"), (1, "a", 8, "y")], "doc_id long, text string, part int, ids string")
+    got = sorted(tuple(r)[:3] for r in token_output.encoded(docs, Scratch(spark, "t")).collect())
+    assert got == [(1, 0, 2), (2, 2, 3)]
+
+
 def test_segments_give_the_ids_of_whole_texts():
     encoder = token_output._encoder(token_output.vocabulary_path())
     rng = random.Random(8)
     pieces = "don't Don'T 's it's, é, É! … a…, ×, ÷. ab× <|endoftext|> <|ENDOFTEXT|> x<|endoftext|>, <|startoftext|>. ́, é. A 1, a1. (b) [c]! _ a_ ß. Σ, 日, | a|b, , ' '' a', a' - a-b- I'LL! ½, aª,".split(" ") + [" ", " ", "\n", "\u00a0", "\u2003a ,"]
     for _ in range(1500):
         text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 12)))
-        assert encoder.check(text), text
+        assert ids_of(encoder, [text])[0] == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
 # Chat
