@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dna
-from .kmers import kmers
+from .kmers import codes, position_codes
 
 NVALUES = 512
 
@@ -54,9 +54,12 @@ VALUE_SETS: dict[str, Callable[..., Column]] = {
 
 def count(reads: DataFrame, k: int | Sequence[int], mode: str = "max", nvalues: int = NVALUES, seq: str = "seq") -> DataFrame:
     """The exact, saturating counter of all windows of reads: a partial and a final hash aggregation."""
-    size = len(dna.shape(k))
-    grouped = kmers(reads, k, mode, seq).groupBy("kmer").agg(F.count("*").alias("n"))
-    return grouped.select(dna.code("kmer", size).alias("code"), saturated(F.col("n"), nvalues).alias("value"))
+    return occurrences(reads, k, mode, seq).select("code", saturated(F.col("n"), nvalues).alias("value"))
+
+
+def occurrences(reads: DataFrame, k: int | Sequence[int], mode: str = "max", seq: str = "seq") -> DataFrame:
+    """code, n: how often each k-mer stands in reads."""
+    return codes(reads, k, mode, seq).groupBy("code").agg(F.count("*").alias("n"))
 
 
 def filtered_count(reads: DataFrame, k: int, admitted_after: int, filter_reads: DataFrame | None = None, mode: str = "max", nvalues: int = NVALUES) -> DataFrame:
@@ -65,12 +68,10 @@ def filtered_count(reads: DataFrame, k: int, admitted_after: int, filter_reads:
     With the same input for both one aggregation does; else admitted k-mers without a count get 0.
     """
     if filter_reads is None:
-        grouped = kmers(reads, k, mode).groupBy("kmer").agg(F.count("*").alias("n")).filter(F.col("n") > admitted_after)
-        return grouped.select(dna.code("kmer", k).alias("code"), saturated(F.col("n"), nvalues).alias("value"))
-    admitted = kmers(filter_reads, k, mode).groupBy("kmer").agg(F.count("*").alias("seen")).filter(F.col("seen") > admitted_after).select("kmer")
-    counted = kmers(reads, k, mode).groupBy("kmer").agg(F.count("*").alias("n"))
-    joined = admitted.join(counted, "kmer", "left")
-    return joined.select(dna.code("kmer", k).alias("code"), saturated(F.coalesce("n", F.lit(0).cast("bigint")), nvalues).alias("value"))
+        return occurrences(reads, k, mode).filter(F.col("n") > admitted_after).select("code", saturated(F.col("n"), nvalues).alias("value"))
+    admitted = occurrences(filter_reads, k, mode).filter(F.col("n") > admitted_after).select("code")
+    joined = admitted.join(occurrences(reads, k, mode), "code", "left")
+    return joined.select("code", saturated(F.coalesce("n", F.lit(0).cast("bigint")), nvalues).alias("value"))
 
 
 def aggregate(increments: DataFrame, value_set: str = "count", *args) -> DataFrame:
@@ -154,9 +155,7 @@ def optimize(table: DataFrame, partitions: int) -> DataFrame:
 
 def verify(sequences: DataFrame, table: DataFrame, k: int, mode: str = "max", observed: int = 1, nvalues: int = NVALUES, keep: Sequence[str] = ("read_id",)) -> DataFrame:
     """Windows whose code is absent from the table or holds too small a value; empty if all is well."""
-    from .kmers import positions
-
-    found = positions(sequences, k, mode, keep=keep).select(*keep, "pos", dna.code("kmer", k).alias("code"))
+    found = position_codes(sequences, k, mode, keep=keep, invalid=False)
     joined = found.join(table, "code", "left")
     bad = F.col("value").isNull() | ~dna.count_compatible(F.lit(observed), "value", nvalues)
     return joined.filter(bad).select(*keep, "pos", "code")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .genome import region_minima
+from .genome import BIN, bins, inside_regions
 
 EXCLUDED = "^(TRNA|LOC|MIR)"
 
@@ -28,7 +28,7 @@ def region_table(genes: DataFrame, minima: DataFrame, by: str = "losses") -> Dat
 
     Sorted by everything, descending; the sort key is losses or variants.
     """
-    counted = region_minima(minima, genes).groupBy("gene", "region", "length").agg(F.count_if(F.col("value") == 0).alias("nloss"), F.count("value").alias("nv"))
+    counted = inside_regions(minima, genes).groupBy("gene", "region", "length").agg(F.count_if(F.col("value") == 0).alias("nloss"), F.count("value").alias("nv"))
     first, second = ("nloss", "nv") if by == "losses" else ("nv", "nloss")
     rows = counted.select(_rate(first).alias("rate1"), F.col(first).alias("n1"), _rate(second).alias("rate2"), F.col(second).alias("n2"), "gene", "region", "length")
     return ranked(rows, ["rate1", "n1", "rate2", "n2", "gene", "region", "length"])
@@ -44,9 +44,12 @@ def exon_table(exons: DataFrame, minima: DataFrame) -> DataFrame:
 
     nv: a variant over the first position counts, and each that begins after it; nloss: positions in losses.
     """
-    m = minima.withColumnRenamed("chrom", "m_chrom")
+    m = minima.select(F.col("chrom").alias("m_chrom"), "first", "last", "value", F.explode(bins("first", F.col("last"))).alias("m_bin"))
+    rows = exons.withColumn("bin", F.explode(bins("start", F.col("end") - 1)))
     overlap = (F.col("m_chrom") == F.col("chrom")) & (F.col("first") < F.col("end")) & (F.col("last") >= F.col("start"))
-    joined = exons.join(m, overlap, "left")
+    # A pair that shares several bins is joined in the first of them.
+    overlap &= (F.col("m_bin") == F.col("bin")) & (F.col("bin") == F.floor(F.greatest("first", "start") / BIN))
+    joined = rows.join(m, overlap, "left")
     covered = F.least(F.col("last") + 1, F.col("end")) - F.greatest("first", "start")
     by_exon = joined.groupBy("gene", "chrom", "start", "end").agg(
         F.coalesce(F.max((F.col("first") <= F.col("start")).cast("bigint")), F.lit(0)).alias("at_start"),

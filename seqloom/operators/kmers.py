@@ -1,42 +1,115 @@
-"""Windows of k letters as rows."""
+"""Windows of k letters as rows, as text or as codes."""
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dna
 
-#: Windows that one piece of a long sequence holds; pieces overlap by the window's span less one. Finding a letter
-#: in UTF-8 text walks from its start, so pieces are short.
-PIECE = 128
+#: Letters of a piece: two numbers of HALF letters hold it, so its windows are made by shifts alone.
+HALF = 31
+PIECE = 2 * HALF
+#: Windows of a block of a sequence along which positions count. Blocks are cut into pieces, so no array holds all pieces of a chromosome.
+BLOCK = 1 << 16
 
+_VALID = "ACGTUacgtu"
 
-def _pieces(df: DataFrame, seq: str, span: int, position: bool) -> DataFrame:
-    """Explodes `seq` into pieces of at most PIECE windows, as _piece, with the piece's place _at if asked for."""
-    starts = F.when(F.length(seq) >= span, F.sequence(F.lit(0), F.length(seq) - span, F.lit(PIECE)))
-    pieces = F.transform(starts, lambda i: F.struct(i.alias("at"), F.substring(F.col(seq), i + 1, F.lit(PIECE + span - 1)).alias("piece")))
-    out = df.withColumn("_p", F.explode(pieces)).withColumn("_piece", F.col("_p.piece"))
-    return (out.withColumn("_at", F.col("_p.at")) if position else out).drop("_p")
+
+def _cut(seq, span: int, letters: int, letter: str = ".") -> Column:
+    """Pieces of `letters` letters at most, each beginning after the last window of the one before.
+
+    One pass over the text: a piece is seen ahead and only its windows' first letters are taken.
+    """
+    return F.regexp_extract_all(seq, F.lit(f"(?s)(?=({letter}{{{span},{letters}}})){letter}{{1,{letters - span + 1}}}"), F.lit(1))
+
+
+def _piece_size(span: int) -> int:
+    return max(PIECE, 2 * span)
+
+
+def _valid_pieces(df: DataFrame, size: int, seq: str, keep: Sequence[str]) -> DataFrame:
+    """keep and _piece: all windows of `size` valid letters, none of them in two pieces."""
+    return df.select(*keep, F.explode(_cut(seq, size, _piece_size(size), f"[{_VALID}]")).alias("_piece"))
+
+
+def _all_pieces(df: DataFrame, span: int, seq: str, keep: Sequence[str], position: bool = False, spread: bool = False) -> DataFrame:
+    """keep, _piece and, if asked for, _at: where it begins. Invalid letters are N. spread deals the blocks of long sequences out."""
+    size = _piece_size(span)
+    clean = F.regexp_replace(seq, f"[^{_VALID}]", "N")
+    if not position:
+        return df.select(*keep, F.explode(_cut(clean, span, size)).alias("_piece"))
+    blocks = df.select(*keep, F.posexplode(_cut(clean, span, BLOCK + span - 1)).alias("_b", "_block"))
+    if spread:
+        blocks = blocks.repartition(*keep, "_b")
+    pieces = blocks.select(*keep, "_b", F.posexplode(_cut("_block", span, size)).alias("_p", "_piece"))
+    at = F.col("_b").cast("bigint") * BLOCK + F.col("_p") * (size - span + 1)
+    return pieces.select(*keep, at.alias("_at"), "_piece")
+
+
+def _numbers(piece, digits: str, base: int) -> Column:
+    """The number that the digits of some letters are, for _VALID and N in that order."""
+    return F.conv(F.translate(piece, f"{_VALID}N", digits), base, 10).cast("bigint")
+
+
+def _with_codes(pieces: DataFrame, offsets: Sequence[int], keep: Sequence[str], checked: bool) -> DataFrame:
+    """keep, _i and code of every window of the pieces (keep, _piece): null where a letter at the offsets is N, if they are to be checked."""
+    span = offsets[-1] + 1
+    low = F.greatest(F.length("_piece") - HALF, F.lit(0))
+    columns = {
+        "_n": F.length("_piece"), "_low": low, "_hi": _numbers(F.substring("_piece", 1, HALF), "01233012330", 4),
+        "_lo": F.when(low > 0, _numbers(F.substring("_piece", HALF + 1, HALF), "01233012330", 4)).otherwise(F.lit(0).cast("bigint")),
+    }
+    if checked:
+        columns["_bad"] = _numbers("_piece", "00000000001", 2)
+    rows = pieces.select(*keep, *[c.alias(n) for n, c in columns.items()])
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - span)).alias("_i"))
+    # Letters of the piece behind the window, and of those the ones in its second half.
+    behind = F.col("_n") - span - F.col("_i")
+    whole = F.call_function("shiftright", F.col("_hi"), 2 * (behind - F.col("_low")))
+    parted = F.call_function("shiftleft", F.col("_hi"), 2 * (F.col("_low") - behind)).bitwiseOR(F.call_function("shiftright", F.col("_lo"), 2 * behind))
+    window = F.when(behind >= F.col("_low"), whole).otherwise(parted).bitwiseAND(F.lit((1 << 2 * span) - 1))
+    code = _picked(window, offsets)
+    if checked:
+        mask = sum(1 << (span - 1 - o) for o in offsets)
+        code = F.when(F.call_function("shiftright", F.col("_bad"), behind).bitwiseAND(F.lit(mask)) == 0, code)
+    return rows.select(*keep, "_i", code.alias("code"))
+
+
+def _picked(window: Column, offsets: Sequence[int]) -> Column:
+    """The code of the letters at the offsets of a window's code: runs of neighbours are moved together."""
+    span, size = offsets[-1] + 1, len(offsets)
+    if span == size:
+        return window
+    out, done = F.lit(0).cast("bigint"), 0
+    starts = [i for i in range(size) if i == 0 or offsets[i] != offsets[i - 1] + 1]
+    for a, b in zip(starts, [*starts[1:], size]):
+        run = F.shiftright(window, 2 * (span - offsets[a] - (b - a))).bitwiseAND(F.lit((1 << 2 * (b - a)) - 1))
+        done += b - a
+        out = out.bitwiseOR(F.shiftleft(run, 2 * (size - done)))
+    return out
+
+
+def _text_windows(pieces: DataFrame, offsets: Sequence[int], keep: Sequence[str]) -> DataFrame:
+    """keep, _i and kmer of every window of the pieces."""
+    span = offsets[-1] + 1
+    rows = pieces.withColumn("_piece", dna.bases("_piece")).select(*keep, "_piece", F.explode(F.sequence(F.lit(0), F.length("_piece") - span)).alias("_i"))
+    if span == len(offsets):
+        return rows.select(*keep, "_i", F.col("_piece").substr(F.col("_i") + 1, F.lit(span)).alias("kmer"))
+    return rows.select(*keep, "_i", F.concat(*[F.col("_piece").substr(F.col("_i") + 1 + o, F.lit(1)) for o in offsets]).alias("kmer"))
 
 
 def windows(df: DataFrame, k: int | Sequence[int], seq: str = "seq", keep: Sequence[str] = ()) -> DataFrame:
     """A row with `kmer` for each window without invalid letters, and the columns in keep.
 
-    For an int the valid runs are taken out first, so windows over invalid letters are never made.
-    For a spaced shape only the letters at its offsets must be valid.
+    For an int windows over invalid letters are never made. For a spaced shape only the letters at
+    its offsets must be valid. A null or short sequence has no window.
     """
     offsets = dna.shape(k)
-    span, size = offsets[-1] + 1, len(offsets)
-    base = df.select(*keep, dna.bases(seq).alias("_seq"))
-    if span == size:
-        base = base.select(*keep, F.explode(F.regexp_extract_all("_seq", F.lit(f"([ACGT]{{{size},}})"), F.lit(1))).alias("_seq"))
-    pieces = _pieces(base, "_seq", span, False)
-    at = F.sequence(F.lit(1), F.length("_piece") - (span - 1))
-    if span == size:
-        return pieces.select(*keep, F.explode(F.transform(at, lambda i: F.substring(F.col("_piece"), i, F.lit(size)))).alias("kmer"))
-    pick = lambda i: F.concat(*[F.substring(F.col("_piece"), i + o, F.lit(1)) for o in offsets])
-    return pieces.select(*keep, F.explode(F.transform(at, pick)).alias("kmer")).filter(~F.col("kmer").rlike("[^ACGT]"))
+    if offsets[-1] + 1 == len(offsets):
+        return _text_windows(_valid_pieces(df, len(offsets), seq, keep), offsets, keep).select(*keep, "kmer")
+    found = _text_windows(_all_pieces(df, offsets[-1] + 1, seq, keep), offsets, keep)
+    return found.filter(~F.col("kmer").contains("N")).select(*keep, "kmer")
 
 
 def kmers(df: DataFrame, k: int | Sequence[int], mode: str = "max", seq: str = "seq", keep: Sequence[str] = ()) -> DataFrame:
@@ -47,24 +120,65 @@ def kmers(df: DataFrame, k: int | Sequence[int], mode: str = "max", seq: str = "
     return found.withColumn("kmer", dna.canonical("kmer", mode))
 
 
+def _by_shifts(offsets: Sequence[int]) -> bool:
+    return offsets[-1] < HALF
+
+
+def codes(df: DataFrame, k: int | Sequence[int], mode: str = "max", seq: str = "seq", keep: Sequence[str] = ()) -> DataFrame:
+    """keep and `code` of each window without invalid letters, in the given mode.
+
+    For spans of up to HALF letters codes come from two numbers a piece, by shifts in generated
+    code; wider ones go by way of text.
+    """
+    offsets, size = dna.shape(k), len(dna.shape(k))
+    if not _by_shifts(offsets):
+        return kmers(df, k, mode, seq, keep).select(*keep, dna.code("kmer", size).alias("code"))
+    if offsets[-1] + 1 == size:
+        found = _with_codes(_valid_pieces(df, size, seq, keep), offsets, keep, False)
+    else:
+        found = _with_codes(_all_pieces(df, offsets[-1] + 1, seq, keep), offsets, keep, True).filter("code IS NOT NULL")
+    return _in_mode(found, size, mode, keep)
+
+
+def _in_mode(found: DataFrame, size: int, mode: str, keep: Sequence[str]) -> DataFrame:
+    if dna.mode(mode) == "both":
+        return found.select(*keep, F.explode(F.array("code", dna.reverse_complement_code("code", size))).alias("code"))
+    return found.select(*keep, dna.canonical_code("code", size, mode).alias("code"))
+
+
 def positions(df: DataFrame, k: int | Sequence[int], mode: str = "max", seq: str = "seq", keep: Sequence[str] = (), invalid: bool = False) -> DataFrame:
     """keep, pos (0-based) and kmer of each window; invalid ones have a null kmer if asked for, else no row."""
     offsets = dna.shape(k)
-    span = offsets[-1] + 1
-    pieces = _pieces(df.select(*keep, dna.bases(seq).alias("_seq")), "_seq", span, True)
-    at = F.sequence(F.lit(0), F.length("_piece") - span)
-    part = (lambda i: F.substring(F.col("_piece"), i + 1, F.lit(span))) if span == len(offsets) else (lambda i: F.concat(*[F.substring(F.col("_piece"), i + 1 + o, F.lit(1)) for o in offsets]))
-    rows = pieces.select(*keep, "_at", F.posexplode(F.transform(at, part)).alias("_i", "kmer"))
-    valid = ~F.col("kmer").rlike("[^ACGT]")
-    out = rows.select(*keep, (F.col("_at") + F.col("_i")).cast("bigint").alias("pos"), F.when(valid, dna.canonical("kmer", "f" if mode == "both" else mode)).alias("kmer"))
-    if mode == "both":
-        out = out.select(*keep, "pos", F.explode(F.array("kmer", dna.reverse_complement("kmer"))).alias("kmer"))
+    pieces = _all_pieces(df, offsets[-1] + 1, seq, keep, position=True)
+    rows = _text_windows(pieces, offsets, [*keep, "_at"])
+    rows = rows.select(*keep, (F.col("_at") + F.col("_i")).alias("pos"), F.when(~F.col("kmer").contains("N"), F.col("kmer")).alias("kmer"))
+    if dna.mode(mode) == "both":
+        out = rows.select(*keep, "pos", F.explode(F.array("kmer", dna.reverse_complement("kmer"))).alias("kmer"))
+    else:
+        out = rows.select(*keep, "pos", dna.canonical("kmer", mode).alias("kmer"))
     return out if invalid else out.filter("kmer IS NOT NULL")
 
 
-def position_codes(df: DataFrame, k: int, mode: str = "max", seq: str = "seq", keep: Sequence[str] = ()) -> DataFrame:
-    """keep, pos and code for every window; the code is null where a letter is invalid."""
-    return positions(df, k, mode, seq, keep, True).select(*keep, "pos", dna.code("kmer", k).alias("code"))
+def position_codes(df: DataFrame, k: int | Sequence[int], mode: str = "max", seq: str = "seq", keep: Sequence[str] = (), invalid: bool = True, spread: bool = False) -> DataFrame:
+    """keep, pos and code for every window; the code is null where a letter is invalid, or such windows are left out.
+
+    spread deals blocks of the sequences out by keep and place, for few and long ones.
+    """
+    offsets = dna.shape(k)
+    if not _by_shifts(offsets):
+        return positions(df, k, mode, seq, keep, invalid).select(*keep, "pos", dna.code("kmer", len(offsets)).alias("code"))
+    pieces = _all_pieces(df, offsets[-1] + 1, seq, keep, position=True, spread=spread)
+    rows = _with_codes(pieces, offsets, [*keep, "_at"], True)
+    rows = rows.select(*keep, (F.col("_at") + F.col("_i")).alias("pos"), "code")
+    out = _in_mode(rows, len(offsets), mode, [*keep, "pos"])
+    return out if invalid else out.filter("code IS NOT NULL")
+
+
+def letters(df: DataFrame, seq: str = "seq", keep: Sequence[str] = (), spread: bool = False) -> DataFrame:
+    """keep, pos and letter of every position; U is T and invalid letters are N."""
+    pieces = _all_pieces(df, 1, seq, keep, position=True, spread=spread).withColumn("_piece", dna.bases("_piece"))
+    rows = pieces.select(*keep, "_at", "_piece", F.explode(F.sequence(F.lit(0), F.length("_piece") - 1)).alias("_i"))
+    return rows.select(*keep, (F.col("_at") + F.col("_i")).alias("pos"), F.col("_piece").substr(F.col("_i") + 1, F.lit(1)).alias("letter"))
 
 
 def subsample(reads: DataFrame, step: int, read_id: str = "read_id") -> DataFrame:

@@ -4,12 +4,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import counters
-from ..operators.kmers import kmers
-from ..functions import dna
+from ..operators.kmers import codes
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 MAPPED = ("ACGT" * 7)[:26]
 K, K_GENOME = 7, 5
+#: The k of real counts, over dense reads.
+K_LONG = 27
 #: Solid values by k, as (group, sample, threshold).
 THRESHOLDS = {K: [(g, s, 40 * g * g + 20 * s) for g in (1, 2) for s in range(4)], K_GENOME: [(g, s, 100 * g + 40 * s) for g in (1, 2) for s in range(4)]}
 
@@ -39,6 +40,24 @@ def genome(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("chrom"), as_dna("text").alias("seq"))
 
 
+def dense(text) -> Column:
+    """The letters of a text alone, as DNA: one long valid run."""
+    return as_dna(F.regexp_replace(text, "[^A-Za-z]", ""))
+
+
+def dense_reads(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").select(F.col("doc_id").alias("read_id"), dense("text").alias("seq"))
+
+
+def dense_items(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "benchmark").select(F.col("item_id").alias("read_id"), dense("text").alias("seq"))
+
+
+def dense_genome(spark: SparkSession, d: str) -> DataFrame:
+    """A chromosome for each turn of a conversation."""
+    return _table(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("chrom"), dense("text").alias("seq"))
+
+
 def case(spark: SparkSession, d: str) -> DataFrame:
     return counters.count(reads(spark, d).filter("lang = 'en'"), K)
 
@@ -57,8 +76,8 @@ def genomic(spark: SparkSession, d: str, k: int = K) -> DataFrame:
 
 def samples(spark: SparkSession, d: str, k: int = K) -> DataFrame:
     own = reads(spark, d).select(F.when(F.col("lang") == "en", 1).otherwise(2).alias("grp"), F.pmod(F.col("read_id"), F.lit(4)).cast("int").alias("sample"), "seq")
-    counted = kmers(own, k, keep=["grp", "sample"]).groupBy("grp", "sample", "kmer").agg(F.count("*").alias("value"))
-    return counted.select("grp", "sample", dna.code("kmer", k).alias("code"), counters.saturated(F.col("value"), 512).alias("value"))
+    counted = codes(own, k, keep=["grp", "sample"]).groupBy("grp", "sample", "code").agg(F.count("*").alias("value"))
+    return counted.select("grp", "sample", "code", counters.saturated(F.col("value"), 512).alias("value"))
 
 
 def thresholds(spark: SparkSession, k: int = K) -> DataFrame:
@@ -72,6 +91,10 @@ def sql_dna(text: str) -> str:
     return f"translate(lower({text}), '{ALPHABET}', '{MAPPED}')"
 
 
+def sql_dense(text: str) -> str:
+    return sql_dna(f"regexp_replace({text}, '[^A-Za-z]', '', 'g')")
+
+
 def sql_rc(x: str) -> str:
     return f"reverse(translate({x}, 'ACGT', 'TGCA'))"
 
@@ -103,6 +126,9 @@ def sql_counter(source: str, k: int = K, mode: str = "max", nvalues: int = 512)
 READS = f"reads AS (SELECT doc_id AS read_id, lang, source, {sql_dna('text')} AS seq FROM documents)"
 TALKS = f"talks AS (SELECT conv_id, turn, role, {sql_dna('text')} AS seq FROM conversations)"
 GENOME = f"genome AS (SELECT item_id::VARCHAR AS chrom, {sql_dna('text')} AS seq FROM benchmark)"
+DENSE_READS = f"dense_reads AS (SELECT doc_id AS read_id, {sql_dense('text')} AS seq FROM documents)"
+DENSE_ITEMS = f"dense_items AS (SELECT item_id AS read_id, {sql_dense('text')} AS seq FROM benchmark)"
+DENSE_GENOME = f"genome AS (SELECT conv_id || ':' || turn AS chrom, {sql_dense('text')} AS seq FROM conversations)"
 CASE = f"{READS}, en AS (SELECT * FROM reads WHERE lang = 'en'), case_c AS MATERIALIZED {sql_counter('en')}"
 CONTROL = f"other AS (SELECT * FROM reads WHERE lang <> 'en'), control_c AS MATERIALIZED {sql_counter('other')}"
 BAIT = f"{TALKS}, bait_c AS MATERIALIZED {sql_counter('talks')}"

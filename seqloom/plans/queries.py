@@ -129,6 +129,42 @@ def filtercount_two_inputs(spark, d):
     return counters.filtered_count(fx.reads(spark, d), K, 2, fx.talks(spark, d))
 
 
+# Counting at the k of real counts, where keys grow with the input
+
+KL = fx.K_LONG
+_LONG = f"{fx.DENSE_READS}, long_c AS MATERIALIZED (SELECT {fx.sql_canonical('kmer', 'max')} AS kmer, count(*) AS n FROM {fx.sql_windows('dense_reads', KL)} GROUP BY 1)"
+
+
+@query(f"WITH {_LONG} SELECT least(n, 511) AS value, count(*) AS freq, sum({fx.sql_code('kmer', KL)} % 1000003)::BIGINT AS code_sum FROM long_c GROUP BY 1")
+def kmer_count_27(spark, d):
+    """The histogram of the whole counter, with a sum over its codes in place of millions of rows."""
+    table = counters.count(fx.dense_reads(spark, d), KL)
+    return table.groupBy("value").agg(F.count("*").alias("freq"), F.sum(F.col("code") % 1000003).alias("code_sum"))
+
+
+@query(f"WITH {_LONG} SELECT {fx.sql_code('kmer', KL)} AS code, least(n, 511) AS value FROM long_c WHERE n > 3")
+def filtercount_27(spark, d):
+    return counters.filtered_count(fx.dense_reads(spark, d), KL, 3)
+
+
+@query(f"WITH {_LONG}, {fx.DENSE_ITEMS}, item_c AS (SELECT DISTINCT {fx.sql_canonical('kmer', 'max')} AS kmer FROM {fx.sql_windows('dense_items', KL)}) SELECT {fx.sql_code('kmer', KL)} AS code, least(coalesce(n, 0), 511) AS value FROM item_c LEFT JOIN long_c USING (kmer)")
+def lookup_27(spark, d):
+    items = counters.count(fx.dense_items(spark, d), KL).select("code")
+    return counters.lookup(items, counters.count(fx.dense_reads(spark, d), KL))
+
+
+_SPACED_LONG = (0, 1, 2, 4, 5, 7, 8, 10, 12, 13, 15, 18, 20, 21, 24, 26, 27, 28)
+
+
+@query(
+    f"""WITH {fx.DENSE_ITEMS}, w AS (SELECT seq, unnest(range(1, length(seq) - 27)) AS i FROM dense_items WHERE length(seq) >= 29),
+c AS (SELECT {fx.sql_canonical('kmer', 'min')} AS kmer, count(*) AS n FROM (SELECT {' || '.join(f'substr(seq, i + {o}, 1)' for o in _SPACED_LONG)} AS kmer FROM w) GROUP BY 1)
+SELECT {fx.sql_code('kmer', len(_SPACED_LONG))} AS code, least(n, 511) AS value FROM c"""
+)
+def kmer_count_spaced_long(spark, d):
+    return counters.count(fx.dense_items(spark, d), _SPACED_LONG, "min")
+
+
 # Dumps and items
 
 
@@ -497,6 +533,67 @@ def exon_table(spark, d):
     return genes.exon_table(exons, _minima(spark, d))
 
 
+# Tracks with many minima: windows are present or not by their code.
+
+_DENSE = f"""{fx.DENSE_GENOME}, {fx.sql_positions(KG)},
+flags AS (SELECT chrom, pos, {fx.sql_code(fx.sql_canonical('kmer', 'max'), KG)} AS code FROM windows_p),
+axis AS (SELECT chrom, unnest(range(0, length(seq))) AS pos FROM genome),
+cover AS MATERIALIZED (SELECT a.chrom, a.pos, coalesce(sum((code % 7 <> 0)::INTEGER) OVER w, 0)::BIGINT AS cov_a, coalesce(sum((code % 11 <> 0)::INTEGER) OVER w, 0)::BIGINT AS cov_b
+  FROM axis a LEFT JOIN flags t ON a.chrom = t.chrom AND a.pos = t.pos WINDOW w AS (PARTITION BY a.chrom ORDER BY a.pos RANGE BETWEEN {KG - 1} PRECEDING AND CURRENT ROW)),
+ch AS (SELECT *, (cov_a <> lag(cov_a) OVER (PARTITION BY chrom ORDER BY pos))::INTEGER AS changed FROM cover),
+ru AS (SELECT *, sum(coalesce(changed, 1)) OVER (PARTITION BY chrom ORDER BY pos) AS run FROM ch),
+pl AS (SELECT chrom, run, min(pos) AS first, max(pos) AS last, any_value(cov_a) AS value, bool_or(cov_b = {KG}) AS full_b FROM ru GROUP BY chrom, run),
+nb AS (SELECT *, lag(value) OVER (PARTITION BY chrom ORDER BY first) AS lv, lead(value) OVER (PARTITION BY chrom ORDER BY first) AS rv FROM pl),
+minima AS MATERIALIZED (SELECT chrom, first, last, value FROM nb WHERE lv > value AND rv > value AND full_b),
+regions AS (SELECT chrom, pos AS start, pos + 40 AS "end" FROM axis WHERE pos % 40 = 0)"""
+
+
+def _dense_minima(spark, d, bin_size=genome.BIN):
+    sequences_ = fx.dense_genome(spark, d)
+    codes = kmers.position_codes(sequences_, KG, keep=["chrom"], invalid=False)
+    flags = codes.select("chrom", "pos", (F.col("code") % 7 != 0).alias("a"), (F.col("code") % 11 != 0).alias("b"))
+    cover = genome.coverage(sequences_, flags, KG, {"cov_a": "a", "cov_b": "b"}, bin_size)
+    return genome.minima(genome.plateaus(cover, "cov_a", "cov_b", KG, bin_size))
+
+
+def _dense_regions(spark, d):
+    axis = fx.dense_genome(spark, d).select("chrom", F.length("seq").alias("n")).filter("n > 0")
+    starts = axis.select("chrom", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n").cast("bigint") - 1, F.lit(40).cast("bigint"))).alias("start"))
+    return starts.withColumn("end", F.col("start") + 40)
+
+
+@query(f"WITH {_DENSE} SELECT * FROM minima")
+def dense_minima(spark, d):
+    return _dense_minima(spark, d)
+
+
+@query(f"WITH {_DENSE} SELECT * FROM minima")
+def dense_minima_small_bins(spark, d):
+    """The same with bins of 16 positions, so that most runs lie next to a border or over one."""
+    return _dense_minima(spark, d, 16)
+
+
+@query(f'WITH {_DENSE} SELECT r.chrom, start, "end", first, last, value FROM regions r JOIN minima m ON m.chrom = r.chrom AND first >= start AND last < "end"')
+def dense_region_minima(spark, d):
+    return genome.region_minima(_dense_minima(spark, d), _dense_regions(spark, d)).select("chrom", "start", "end", "first", "last", "value")
+
+
+@query(
+    f"""WITH {_DENSE}, j AS (SELECT r.chrom || '@' || start // 120 AS gene, r.chrom, start, "end", first, last, value FROM regions r LEFT JOIN minima m ON m.chrom = r.chrom AND first < "end" AND last >= start),
+b AS (SELECT gene, chrom, start, "end", coalesce(max((first <= start)::INTEGER), 0) AS at_start, count(*) FILTER (first > start) AS later,
+  coalesce(sum(least(last + 1, "end") - greatest(first, start)) FILTER (value = 0), 0) AS loss FROM j GROUP BY ALL)
+SELECT gene, sum("end" - start)::BIGINT AS length, sum(loss)::BIGINT AS nloss, sum(at_start + later)::BIGINT AS nv FROM b GROUP BY gene"""
+)
+def dense_exons(spark, d):
+    exons = _dense_regions(spark, d).withColumn("gene", F.concat_ws("@", "chrom", F.floor(F.col("start") / 120)))
+    return genes.exon_table(exons, _dense_minima(spark, d))
+
+
+@query(f"WITH {_DENSE}, e AS (SELECT chrom, first, value, unnest(range(first, last + 1)) AS pos FROM minima) SELECT chrom, pos, (2 + (value = 0)::INTEGER + 4 * (pos = first)::INTEGER)::INTEGER AS bits FROM e")
+def dense_variant_bits(spark, d):
+    return genome.variant_bits(_dense_minima(spark, d))
+
+
 # Gene tables: the documents' sources and languages stand for names, so that names repeat.
 
 

@@ -86,7 +86,7 @@ def pair_reads(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def check_pairs(first: DataFrame, second: DataFrame) -> DataFrame:
     """The read_ids whose headers differ in their first word or that only one file has."""
-    side = lambda df, i: df.select("read_id", text.first_word(F.regexp_replace("header", "/[12]$", "")).alias(f"name{i}"))
+    side = lambda df, i: df.select("read_id", F.regexp_replace(text.first_word("header"), "/[12]$", "").alias(f"name{i}"))
     return side(first, 1).join(side(second, 2), "read_id", "full").filter("NOT (name1 <=> name2)").select("read_id")
 
 

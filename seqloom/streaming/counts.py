@@ -4,9 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import dna
 from ..operators import counters
-from ..operators.kmers import kmers
 
 
 def read_stream(spark: SparkSession, path: str, schema: str = "read_id bigint, seq string", files_per_batch: int | None = None) -> DataFrame:
@@ -17,8 +15,7 @@ def read_stream(spark: SparkSession, path: str, schema: str = "read_id bigint, s
 
 def stream_counts(reads: DataFrame, k: int, mode: str = "max", nvalues: int = counters.NVALUES) -> DataFrame:
     """A streaming counter (code, value); the state store holds a count for each k-mer, at most 4**k."""
-    counted = kmers(reads, k, mode).groupBy("kmer").agg(F.count("*").alias("n"))
-    return counted.select(dna.code("kmer", k).alias("code"), counters.saturated(F.col("n"), nvalues).alias("value"))
+    return counters.count(reads, k, mode, nvalues)
 
 
 def merge_batches(reads: DataFrame, k: int, path: str, checkpoint: str, mode: str = "max", nvalues: int = counters.NVALUES) -> StreamingQuery:
