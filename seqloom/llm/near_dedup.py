@@ -271,23 +271,27 @@ def _attach(pairs: DataFrame, side: DataFrame, columns: dict[str, tuple[str, str
     return pairs
 
 
-def _blocks(member: DataFrame, counts: DataFrame) -> DataFrame:
+def _blocks(member: DataFrame) -> DataFrame:
     """band, rep, component, own, i, j: each member in every pair of blocks in which it meets other components.
 
+    member has band, rep, component and c, the members of the bucket.
+
     A bucket of BLOCK members or fewer is one block. In a larger one a component of more than a
     quarter of a block has blocks of its own, of which no two meet, and the others share blocks;
     so one huge component costs a bucket as many rows as it has strangers' blocks, not its square.
     """
-    member = member.join(counts, "band")
     zero = F.lit(0).cast("long")
     small = member.filter(F.col("c") <= BLOCK).select("band", "rep", "component", zero.alias("own"), zero.alias("i"), zero.alias("j"))
-    sizes = member.filter(F.col("c") > BLOCK).groupBy("band", "component").agg(F.count("*").alias("n"))
+    big = member.filter(F.col("c") > BLOCK)
+    if big.isEmpty():
+        return small
+    sizes = big.groupBy("band", "component").agg(F.count("*").alias("n"))
     large = 4 * F.col("n") > BLOCK
     rest = sizes.groupBy("band").agg(F.ceil(F.sum(F.when(large, 0).otherwise(F.col("n"))) / BLOCK).alias("shared"))
     deal = lambda column, n: F.pmod(F.xxhash64(column), F.greatest(n, F.lit(1)))
     own = F.when(large, F.xxhash64("component", deal("rep", F.ceil(F.col("n") / BLOCK)))).otherwise(deal("component", F.col("shared")))
     group = F.when(large, F.col("component")).otherwise(F.lit(-1).cast("long"))
-    big = member.filter(F.col("c") > BLOCK).join(sizes, ["band", "component"]).join(rest, "band").select("band", "rep", "component", group.alias("group"), own.alias("own"))
+    big = big.join(sizes, ["band", "component"]).join(rest, "band").select("band", "rep", "component", group.alias("group"), own.alias("own"))
     blocks = big.select("band", "group", "own").distinct()
     groups = blocks.select("band", "group").distinct()
     meet = groups.withColumnRenamed("group", "g").join(groups.withColumnRenamed("group", "h"), "band").filter("g < h OR g = h AND g = -1")
@@ -335,7 +339,10 @@ def _classes(docs: DataFrame, sc: Scratch, by_id: bool) -> tuple[DataFrame, Data
         # Buckets with members of one component only are done with.
         member = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
         counts = member.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).filter("lo < hi").select("band", "c")
-        rows = _blocks(member, counts).join(sketches, "rep").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+        member = sc.save(member.join(counts, "band"), f"open-{i}")
+        if member.isEmpty():
+            break
+        rows = _blocks(member).join(sketches, "rep").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
         rows = rows.select("band", "i", "j", "rep", "component", "n", "own", "registers", "keys")
         more = sc.save(verified(rows.mapInArrow(_block_pairs(k), "a long, b long").distinct()), f"edges-{i}")
         if not more.isEmpty():
@@ -346,7 +353,7 @@ def _classes(docs: DataFrame, sc: Scratch, by_id: bool) -> tuple[DataFrame, Data
     label = linked.join(names, "component").select("rep", F.col("least.doc_id").alias("component_id"), F.col("least.mark").alias("component_mark"))
     label = classes.select("rep", "print", "doc_id", "mark").join(label, "rep", "left")
     label = label.select("print", F.coalesce("component_id", "doc_id").alias("component_id"), F.when(F.col("component_id").isNull(), F.col("mark")).otherwise(F.col("component_mark")).alias("component_mark"))
-    sc.drop("buckets", "sets", "edges-1", "edges-2")
+    sc.drop("buckets", "sets", *[f"{x}-{i}" for x in ("open", "edges") for i in (1, 2)])
     return base.select("doc_id", "mark", "n_shingles", "print"), label
 
 
