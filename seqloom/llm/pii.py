@@ -14,7 +14,9 @@ from pyspark.sql import types as T
 from . import textops
 
 KINDS = ("email", "ip", "card", "phone")
-TAGS = ("other", *KINDS)
+#: Kinds that only the field finds: keys, tokens and passwords.
+FIELD_KINDS = (*KINDS, "secret")
+TAGS = ("other", *FIELD_KINDS)
 #: Words on each side of a candidate word that form its sequence, within its line.
 REACH = 6
 
@@ -77,6 +79,10 @@ LEXICON = {
     "phone": ("phone", "phone:", "tel", "tel:", "tel.", "call", "mobile", "mobile:", "fax", "fax:", "telephone"),
     "card": ("card", "card:", "visa", "mastercard", "credit", "debit"),
     "ip": ("ip", "ip:", "address", "host", "server"),
+    "secret": ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "secret_key", "auth", "bearer", "key"),
+    "sign": ("=", ":", ":=", "=>"),
+    "prefix": ("akia", "asia", "ghp_", "xoxb", "sk_l", "pk_l"),
+    "code": ("commit", "version", "sha", "id", "order", "invoice", "isbn", "file", "model"),
 }
 
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -90,6 +96,10 @@ _IS_CORE = np.zeros(256, bool)
 _IS_CORE[[b for b in range(256) if b >= 128 or chr(b).isalnum() or chr(b) in "+(["]] = True
 #: A bracketed at or dot inside a word.
 _BRACKETED = re.compile(rb"[(\[{<](?:at|dot)[)\]}>]", re.I)
+#: Lengths, and changes between small letters, capitals and digits, at which the form of a word differs.
+LENGTH_STEPS, CHANGE_STEPS = np.array([8, 14, 18, 28]), np.array([2, 4, 7])
+_CLASS = np.zeros(256, np.int8)
+_CLASS[65:91], _CLASS[97:123], _CLASS[48:58] = 1, 2, 3
 DIGIT_STEPS = np.array([1, 2, 3, 4, 5, 7, 9, 10, 11, 13, 16, 17, 20])
 
 
@@ -110,21 +120,39 @@ def _find(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(keys[place] == h, place, -1)
 
 
-def word_features(words: textops.Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the words `which`: hash of the shape with runs shortened to one, bucket of the digit count, lexicon group."""
+def _lexicon(h: np.ndarray) -> np.ndarray:
+    place = _find(_LEXICON_KEYS, h)
+    return np.where(place >= 0, _LEXICON_IDS[np.maximum(place, 0)], 0)
+
+
+def word_features(words: textops.Words, which: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the words `which`: hash of the shape with runs shortened to one, bucket of the digit count, lexicon groups of the word and of what is before its first = or : (else of its first four bytes), form."""
     starts, ends, data = words.starts[which], words.ends[which], words.data
     kinds = _SHAPE[data]
     change = np.ones(len(kinds), bool)
     change[1:] = kinds[1:] != kinds[:-1]
     change[starts] = True
-    at = np.zeros(len(kinds) + 1, np.int64)
-    np.cumsum(change, out=at[1:])
+    sums = lambda flags: np.concatenate(([0], np.cumsum(flags)))
+    at = sums(change)
     shape = textops.span_hashes(kinds[change], at[starts], at[ends])
-    digits = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(_IS_DIGIT[data], out=digits[1:])
-    count = np.searchsorted(DIGIT_STEPS, digits[ends] - digits[starts], "right")
-    place = _find(_LEXICON_KEYS, textops.span_hashes(data, starts, ends, lower=True))
-    return shape, count, np.where(place >= 0, _LEXICON_IDS[np.maximum(place, 0)], 0)
+    count = lambda flags: (lambda x: x[ends] - x[starts])(sums(flags))
+    digits = count(_IS_DIGIT[data])
+    signs = np.flatnonzero((data == 61) | (data == 58))
+    cut = np.append(signs, len(data))[np.searchsorted(signs, starts)]
+    inner = (cut > starts) & (cut < ends - 1)
+    key = _lexicon(textops.span_hashes(data, starts, np.where(inner, cut, np.minimum(starts + 4, ends)), lower=True))
+    classes = _CLASS[data]
+    turns = np.zeros(len(classes), bool)
+    turns[1:] = (classes[1:] != classes[:-1]) & (classes[1:] > 0) & (classes[:-1] > 0)
+    turns[starts] = False
+    form = np.searchsorted(LENGTH_STEPS, ends - starts, "right")
+    for more, n in ((np.searchsorted(CHANGE_STEPS, count(turns), "right"), 4), (count(classes == 1) > 0, 2), (count(classes == 2) > 0, 2), (digits > 0, 2)):
+        form = form * n + more
+    return {"shape": shape, "digits": np.searchsorted(DIGIT_STEPS, digits, "right"), "lexicon": _lexicon(textops.span_hashes(data, starts, ends, lower=True)), "key": key, "form": form}
+
+
+#: Values of the features but shape, whose number the labelled table decides.
+SIZES = {"digits": len(DIGIT_STEPS) + 1, "lexicon": len(LEXICON) + 1, "key": len(LEXICON) + 1, "form": (len(LENGTH_STEPS) + 1) * 32}
 
 
 @dataclass
@@ -137,8 +165,8 @@ class Field:
     begin: np.ndarray
 
     def ids(self, words: textops.Words, which: np.ndarray) -> dict[str, np.ndarray]:
-        shape, count, lex = word_features(words, which)
-        return {"shape": _find(self.shapes, shape) + 1, "digits": count, "lexicon": lex}
+        found = word_features(words, which)
+        return found | {"shape": _find(self.shapes, found["shape"]) + 1}
 
     def scores(self, ids: dict[str, np.ndarray], cuts: np.ndarray) -> np.ndarray:
         """(word, tag) scores of sequences laid end to end."""
@@ -203,19 +231,32 @@ def labelled_table(seed: int = 5, rows: int = 400) -> list[tuple[str, list[str]]
         p = [str(rng.integers(0, 256)) for _ in range(4)]
         return pick(".".join(p), " . ".join(p), "[.]".join(p))
 
+    def drawn(letters, n):
+        return "".join(letters[i] for i in rng.integers(0, len(letters), n))
+
+    def secret():
+        hexa, mixed, upper = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+        value = pick(drawn(hexa, rng.integers(16, 45)), drawn(mixed, rng.integers(16, 41)), drawn(mixed, 4) + "-" + drawn(mixed, 20))
+        quote = pick("", "", '"', "'")
+        said = pick(*LEXICON["secret"][:12])
+        return pick(f"{said}={quote}{value}{quote}", f"{said} = {quote}{value}{quote}", f"{said}: {quote}{value}{quote}", f"{said} {value}", pick("AKIA", "ASIA") + drawn(upper, 16), f"{pick('sk_live_', 'pk_live_', 'ghp_', 'xoxb-')}{drawn(mixed, 28)}")
+
+    def code():
+        return pick(f"commit {drawn('0123456789abcdef', rng.integers(7, 11))}", f"file{number(8)}.txt", f"img_{number(8)}_{number(4)}.jpg", f"http://host/{name()}{number(3)}", f"{drawn('ABCDEFGH', 2)}-{number(4)}-{drawn('XYZ', 2)}", f"id={number(5)}", f"x={number(2)}", f"version: {number(1)}.{number(2)}", f"{name()}{number(2)}", f"order {drawn('ABCDEF', 3)}{number(6)}", f"{name()}=\"{name()}\"", f"token {name()}", f"password {name()}")
+
     def plain():
-        return pick(f"{rng.integers(1900, 2030)}", f"{number(rng.integers(1, 7))}", f"${number(3)},{number(3)}", f"{number(1)}.{number(2)}", f"{number(2)}/{number(2)}/{number(4)}", f"v{number(1)}.{number(1)}.{number(1)}", f"{number(2)}%", f"{number(2)}:{number(2)}", f"no. {number(8)}", f"{number(20)}", "a0f" + number(6) + "e", f"{number(3)} {number(3)} {number(3)}", f"{number(2)}-{number(2)}-{number(4)}")
+        return code() if rng.random() < 0.4 else pick(f"{rng.integers(1900, 2030)}", f"{number(rng.integers(1, 7))}", f"${number(3)},{number(3)}", f"{number(1)}.{number(2)}", f"{number(2)}/{number(2)}/{number(4)}", f"v{number(1)}.{number(1)}.{number(1)}", f"{number(2)}%", f"{number(2)}:{number(2)}", f"no. {number(8)}", f"{number(20)}", "a0f" + number(6) + "e", f"{number(3)} {number(3)} {number(3)}", f"{number(2)}-{number(2)}-{number(4)}")
 
-    makers, cues = {"email": email, "ip": ip, "card": card, "phone": phone, "other": plain}, {"email": "mail", "ip": "ip", "card": "card", "phone": "phone"}
+    makers, cues = {"email": email, "ip": ip, "card": card, "phone": phone, "secret": secret, "other": plain}, {"email": "mail", "ip": "ip", "card": "card", "phone": "phone"}
     table = []
     for _ in range(rows):
         tokens, tags = [], []
         for _ in range(rng.integers(1, 3)):
-            fill = [name() if rng.random() < 0.8 else name().capitalize() for _ in range(rng.integers(0, 6))]
-            kind = pick("email", "ip", "card", "phone", "other", "other", "other")
+            fill = [(name() if rng.random() < 0.8 else name().capitalize()) + pick("", "", "", "", ".", ",", "###", "***") for _ in range(rng.integers(0, 6))]
+            kind = pick("email", "ip", "card", "phone", "secret", "other", "other", "other")
             if kind in cues and rng.random() < 0.4:
                 fill.append(pick(*LEXICON[cues[kind]]))
-            value = (makers[kind]() + pick("", "", "", ".", ",")).split(" ")
+            value = (makers[kind]() + pick("", "", "", ".", ",", *(["###", "***"] if kind == "secret" else []))).split(" ")
             tokens += fill + value
             tags += ["other"] * len(fill) + [kind] * len(value)
         tokens += (after := [name() for _ in range(rng.integers(0, 5))])
@@ -225,7 +266,9 @@ def labelled_table(seed: int = 5, rows: int = 400) -> list[tuple[str, list[str]]
     for _ in range(rows):
         a, b = pick("()", "[]", "{}", "<>")
         host = pick("example", "mail", "post") + number(rng.integers(0, 2))
-        value = name() + pick("", "." + name()) + f"{a}at{b}{host}" + pick(f"{a}dot{b}", ".") + pick("com", "org", "net") + pick("", "", "", "", ".", ",")
+        big = rng.random() < 0.3
+        case = (lambda x: x.capitalize()) if big else (lambda x: x)
+        value = case(name()) + pick("", "." + case(name())) + pick(f"{a}at{b}", f"{a}AT{b}") + host + pick(f"{a}dot{b}", f"{a}DOT{b}" if big else f"{a}dot{b}", ".") + pick("com", "org", "net") + pick("", "", "", "", ".", ",")
         before = [pick(name(), name().capitalize(), *LEXICON["mail"]) for _ in range(rng.integers(0, 6))]
         after = [name() for _ in range(rng.integers(0, 6))]
         table.append((" ".join([*before, value, *after]), ["other"] * len(before) + ["email"] + ["other"] * len(after)))
@@ -240,10 +283,10 @@ def train(table: list[tuple[str, list[str]]], steps: int = 120, rate: float = 0.
     gold = np.array([TAGS.index(t) for _, tags in table for t in tags])
     if len(gold) != len(words):
         raise ValueError("each word needs one tag")
-    shape, _, _ = word_features(words, every)
+    shape = word_features(words, every)["shape"]
     values, counts = np.unique(shape, return_counts=True)
     k = len(TAGS)
-    sizes = {"shape": int((counts > 1).sum()) + 1, "digits": len(DIGIT_STEPS) + 1, "lexicon": len(LEXICON) + 1}
+    sizes = {"shape": int((counts > 1).sum()) + 1, **SIZES}
     field = Field(values[counts > 1], {f: np.zeros((3, n, k)) for f, n in sizes.items()}, np.zeros((k, k)), np.zeros(k))
     ids = field.ids(words, every)
     n, longest = len(table), int(np.diff(cuts).max())
@@ -327,12 +370,23 @@ def _plausible(kind: str, text: str) -> bool:
     if kind == "ip":
         parts = re.split(r"\D+", text.strip("[]() ."))
         return len(parts) == 4 and all(parts) and is_ip(".".join(parts)) and not re.search(r"[A-Za-z,:/]", text)
-    return bool(re.search(r"\S+\s*(@|[(\[{<]\s*at\s*[)\]}>])\s*\S+", text, re.I)) and bool(re.search(r"\S(\.|\s*[(\[{<]?\s*dot\s*[)\]}>]?\s*)[A-Za-z]{2,}", text, re.I))
+    if kind == "secret":
+        value = re.split(r"[=:\s]", text.strip("\"'.,;"))[-1].strip("\"'")
+        return len(value) >= 12 and _TOKEN.fullmatch(value) is not None and any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+    # The text begins and ends with no white space, so something stands before and after what is inside it.
+    at = any(m.start() > 0 and m.end() < len(text) for m in _AT.finditer(text))
+    return at and any(m.start() > 0 and (m[0][0] != "." or not text[m.start() - 1].isspace()) for m in _DOT.finditer(text))
+
+
+# What makes a written-out address; nothing in them is tried twice.
+_AT = re.compile(r"@|[(\[{<]\s*+at\s*+[)\]}>]", re.I)
+_DOT = re.compile(r"\.[A-Za-z]{2}|dot\s*+[)\]}>]?+\s*+[A-Za-z]{2}", re.I)
+_TOKEN = re.compile(r"[A-Za-z0-9_+/.=-]+")
 
 
 def find(column: pa.Array, field: Field) -> Iterator[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
     """(base spans, all spans) of each row, in code points, by kind, then start."""
-    order = {k: i for i, k in enumerate(KINDS)}
+    order = {k: i for i, k in enumerate(FIELD_KINDS)}
     for lo, hi, data, offsets in textops.chunks(column):
         words = textops.Words(data, offsets)
         raw = data.tobytes()
@@ -379,11 +433,12 @@ def _joined(spans) -> str:
 
 
 def personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """doc_id, counts of base spans by kind, base_sha256 and spans of every row of docs (doc_id, text).
+    """doc_id, counts of base spans by kind, base_sha256, spans and n_spans of every row of docs (doc_id, text).
 
-    Base spans come from the fixed patterns and always stay. The field adds spans of the same
-    kinds that no pattern finds (written-out addresses, numbers with other marks) if they overlap
-    no base span and hold what their kind needs. A null text is empty; a null id stays null.
+    Base spans come from the fixed patterns and always stay. The field adds spans that no pattern
+    finds (written-out addresses, numbers with other marks, secrets) if they overlap no base span
+    and hold what their kind needs; n_spans counts all. A null text is empty; a null id stays null;
+    rows that repeat are read each. Texts of any length are read whole. Other columns are not read.
     """
     field = field or default_field()
     shared = docs.sparkSession.sparkContext.broadcast(field)
@@ -392,12 +447,13 @@ def personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            counts, sums, spans = [], [], []
+            counts, sums, spans, numbers = [], [], [], []
             for base, every in find(batch.column(1), shared.value):
                 counts.append([sum(s[0] == k for s in base) for k in KINDS])
                 sums.append(hashlib.sha256(_joined(base).encode()).hexdigest())
                 spans.append(_joined(every))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in zip(*counts)], pa.array(sums), pa.array(spans)], schema.names)
+                numbers.append(len(every))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in zip(*counts)], pa.array(sums), pa.array(spans), pa.array(numbers, pa.int64())], schema.names)
 
-    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_spans", T.LongType())])
     return docs.select("doc_id", "text").mapInArrow(run, schema)
