@@ -19,8 +19,6 @@ MIN_REVISIT_BYTES = 100
 #: Compressed bytes after which the writer begins another file.
 ROLL_BYTES = 256 << 20
 READ_BYTES = 1 << 18
-#: Longest header block of a record that the reader accepts.
-MAX_HEADER_BYTES = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -50,22 +48,32 @@ def _unlabelled(value: str) -> bytes:
 
 
 def _clean(value: str) -> str:
-    """A header value on one line."""
+    """A header value on one line: runs of white space are one blank, and there is none at its ends."""
     return " ".join(value.split())
 
 
+def record_id(page_id, url, digest: bytes) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id} {url} {digest.hex()}')}>"
+
+
 def record_bytes(page_id, url, payload: bytes, digest: bytes, refers_to, refers_url=None) -> bytes:
-    """One uncompressed record; with refers_to a revisit, whose block has the HTTP header alone."""
+    """One uncompressed record; with refers_to a revisit, whose block has the HTTP header alone.
+
+    refers_to and refers_url name the response's page; a URL of any length is one header line.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = {
         "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id} {url} {digest.hex()}')}>",
+        "WARC-Record-ID": record_id(page_id, url, digest),
         "WARC-Date": DATE,
         "WARC-Target-URI": None if url is None else _clean(url),
         "WARC-Payload-Digest": _labelled(digest),
         "WARC-Block-Digest": _labelled(hashlib.sha256(block).digest()),
         "WARC-Profile": None if refers_to is None else REVISIT_PROFILE,
+        "WARC-Refers-To": None if refers_to is None else record_id(refers_to, refers_url, digest),
+        "WARC-Refers-To-Target-URI": None if refers_to is None or refers_url is None else _clean(refers_url),
+        "WARC-Refers-To-Date": None if refers_to is None else DATE,
         "X-Page-Id": page_id,
         "X-Refers-To-Page-Id": refers_to,
         "Content-Type": "application/http; msgtype=response",
@@ -99,12 +107,13 @@ class _Member:
         self.source.back(self.z.unused_data if self.z.eof else self.z.unconsumed_tail)
         return True
 
-    def until(self, mark: bytes, limit: int) -> bytes:
-        at = self.buffer.find(mark)
+    def until(self, mark: bytes) -> bytes:
+        at, seen = self.buffer.find(mark), 0
         while at < 0:
-            if len(self.buffer) > limit or not self._more():
+            seen = max(0, len(self.buffer) - len(mark) + 1)
+            if not self._more():
                 raise WarcError(f"{self.source.name}: no end of the header")
-            at = self.buffer.find(mark)
+            at = self.buffer.find(mark, seen)
         out = bytes(self.buffer[:at])
         del self.buffer[: at + len(mark)]
         return out
@@ -167,7 +176,7 @@ def records(stream: BinaryIO, name: str = "") -> Iterator[tuple[dict[str, str],
     while not source.at_end():
         offset = source.offset
         member = _Member(source)
-        version, *lines = member.until(b"\r\n\r\n", MAX_HEADER_BYTES).decode("utf-8", "replace").split("\r\n")
+        version, *lines = member.until(b"\r\n\r\n").decode("utf-8", "replace").split("\r\n")
         if not version.startswith("WARC/1."):
             raise WarcError(f"{name}:{offset}: {version[:40]!r} is no WARC version")
         head = _fields(lines, f"{name}:{offset}")
@@ -204,7 +213,9 @@ def write_archives(pages: DataFrame, scratch: Scratch, name: str = "warc") -> Da
 
     Of rows with equal payloads of MIN_REVISIT_BYTES or more, that with the smallest page_id is
     the response, and others revisit it; rows that repeat that page_id are responses too. A null
-    html is an empty payload. Rows without page_id are responses, and nothing refers to them.
+    html is an empty payload. Rows without page_id are responses, and nothing refers to them. White
+    space in a URL is rewritten as a header line needs it (`_clean`); a URL or html of any length is
+    stored whole. Without rows there are no files. Other columns are not read.
 
     Tasks write under names of their own attempt; the returned table lists those of the attempts
     that succeeded.
@@ -212,10 +223,14 @@ def write_archives(pages: DataFrame, scratch: Scratch, name: str = "warc") -> Da
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    large = scratch.save(rows.filter(f"length(payload) >= {MIN_REVISIT_BYTES} AND page_id IS NOT NULL").select("page_id", "digest"), f"{name}-digests")
-    first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).filter("last > refers_to").drop("last")
-    again = scratch.save(large.join(first, "digest").filter("page_id > refers_to").distinct(), f"{name}-revisits")
-    plan = rows.alias("r").join(again.alias("a"), ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
+    large = scratch.save(rows.filter(f"length(payload) >= {MIN_REVISIT_BYTES} AND page_id IS NOT NULL").select("page_id", "digest", "url"), f"{name}-digests")
+    first = large.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.max("page_id").alias("last")).filter("last > first.page_id")
+    first = first.select("digest", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url"))
+    again = large.select("page_id", "digest").join(first, "digest").filter("page_id > refers_to").distinct()
+    again = scratch.save(again, f"{name}-revisits").withColumn("spread", F.lit(0).cast("long"))
+    # Rows without page_id match nothing; dealt out, they do not meet in one task if they are many.
+    spread = F.when(F.col("page_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0).cast("long"))
+    plan = rows.withColumn("spread", spread).join(again, ["page_id", "digest", "spread"], "left").select("page_id", "url", "payload", "digest", "refers_to", "refers_url")
     folder = scratch.path(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,13 +241,13 @@ def write_archives(pages: DataFrame, scratch: Scratch, name: str = "warc") -> Da
         task = TaskContext.get()
         out, written, made = None, 0, []
         for batch in batches:
-            for page, url, payload, digest, refers in zip(*[c.to_pylist() for c in batch.columns]):
+            for page, url, payload, digest, refers, refers_url in zip(*[c.to_pylist() for c in batch.columns]):
                 if out is None or written >= ROLL_BYTES:
                     if out is not None:
                         out.close()
                     made.append(f"pages-{task.partitionId():06d}-{len(made):04d}-{task.taskAttemptId()}.warc.gz")
                     out, written = files.open_output_stream(f"{path}/{made[-1]}", compression=None), 0
-                member = gzip_member(record_bytes(page, url, payload, bytes.fromhex(digest), refers))
+                member = gzip_member(record_bytes(page, url, payload, bytes.fromhex(digest), refers, refers_url))
                 out.write(member)
                 written += len(member)
         if out is not None:
