@@ -40,14 +40,15 @@ def targets(sizes: DataFrame, weights=WEIGHTS) -> DataFrame:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """Adds size, the number of words (null text: 0), and hash, that of the id (null: 0)."""
+    """doc_id, source, size, the number of words (null text: 0), and hash, that of the id (null: that of the text)."""
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), id_hash("doc_id").alias("hash"))
+    return docs.select("doc_id", "source", size.alias("size"), row_hash("doc_id", "text").alias("hash"))
 
 
-def id_hash(column: str):
-    digits = F.substring(F.md5(F.col(column).cast("string").cast("binary")), 1, HASH_BITS // 4)
-    return F.coalesce(F.conv(digits, 16, 10).cast("long"), F.lit(0))
+def row_hash(doc_id: str, text: str):
+    """HASH_BITS bits of the id's hash; rows without id go by their texts, so that they need not stand or fall together."""
+    key = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text "), F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def thresholds(rows: DataFrame, sources: DataFrame, scratch: Scratch) -> DataFrame:
@@ -87,8 +88,9 @@ def mix(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     size counts words; a null text has none. Sources take part in code point order, null last and
     one source of its own. taken is size times copies; copies is at most MAX_REPEATS. Rows with
-    one doc_id and source share their hash and so their copies; null ids count as one id. Without
-    rows or words every target is 0. Other columns are not read.
+    one doc_id and source share their hash and so their copies, as do rows without doc_id that
+    have one text. Without rows or words every target is 0. Texts of any length are counted whole.
+    Other columns are not read.
     """
     rows = scratch.save(sized(docs), "sized")
     sources = scratch.save(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
@@ -106,7 +108,7 @@ def mixed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     sources = scratch.save(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     plan = scratch.save(thresholds(rows, sources, scratch), "plan")
     joined = docs.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-    copies = (F.col("p.repeats") + (id_hash("d.doc_id") < F.col("p.cut")).cast("long")).cast("int")
+    copies = (F.col("p.repeats") + (row_hash("d.doc_id", "d.text") < F.col("p.cut")).cast("long")).cast("int")
     # Not the name of any column of docs, in any case.
     fresh = "copy" + "_" * max(map(len, docs.columns))
     return joined.select("d.*", F.explode(F.array_repeat(F.lit(0), copies)).alias(fresh)).drop(fresh)
@@ -115,7 +117,7 @@ def mixed(docs: DataFrame, scratch: Scratch) -> DataFrame:
 ORACLE = """
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         coalesce(md5(doc_id::VARCHAR)[1:15], '') AS h
+         md5(coalesce(doc_id::VARCHAR, 'text ' || coalesce(text, '')))[1:15] AS h
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (
