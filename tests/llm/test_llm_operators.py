@@ -124,6 +124,17 @@ def test_mix_meets_targets(spark):
     assert {s: n for s, n in copies.items() if n} == {s: n for s, n in taken.items() if n}
 
 
+def test_mix_of_rows_without_ids_and_of_equal_hashes(spark):
+    rows = [(None, f"w{i} " * 5, "a") for i in range(400)] + [(7, "x y z", "b")] * 50 + [(8, "w " * 300_000, "c")]
+    docs = frame(spark, rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, Scratch(spark, "t")).collect()
+    taken = {s: sum(r.taken for r in got if r.source == s) for s in "abc"}
+    target = {r.source: r.target for r in got}
+    assert abs(taken["a"] - target["a"]) <= 3
+    # Rows of one id stand or fall together.
+    assert len({r.taken for r in got if r.source == "b"}) == 1 and {r.size for r in got if r.source == "c"} == {300_000}
+
+
 def test_mixed_keeps_all_columns(spark):
     docs = frame(spark, [(i, "a b", "s", f"c{i}", i, "z") for i in range(5)], "doc_id long, text string, source string, col string, copy int, hash string")
     got = mixing.mixed(docs, Scratch(spark, "t"))
@@ -202,6 +213,113 @@ def test_blocks_do_not_change_rows(spark, monkeypatch):
     assert decontaminate.contaminated(docs, benchmark).count() == len(want)
 
 
+CORE = re.compile(r"^[^0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\x80-\U0010ffff]+$")
+
+
+def plain_tokens(text):
+    """(word as it stands, lower-cased, slot or word, looks like a name) of each word, one by one."""
+    out, end = [], 0
+    for m in WORD.finditer(text):
+        word = CORE.sub("", m[0])
+        if not word:
+            continue
+        start = m.start() + m[0].find(word)
+        begins = not out or re.search(r"[.!?:;\n]", text[end:start])
+        low = "".join(c.lower() if c.isascii() else c for c in word)
+        capital = bool(re.match(r"[A-Z][a-z\x80-\U0010ffff]", word))
+        slot = "#" if re.search("[0-9]", word) else "%" if out and out[-1][2] == "#" and low in decontaminate.UNITS else "@" if capital and not begins else low
+        out.append((word, low, slot, capital))
+        end = start + len(word)
+    return out
+
+
+def plain_match(text, item):
+    """(matched windows, windows, all slots equal) of a document and an item, by comparing words at every offset; None if there is no match."""
+    t, i = plain_tokens(text), plain_tokens(item)
+    k = min(8, len(i))
+    slots = {"#", "%", "@"}
+    usable = [p for p in range(len(i) - k + 1) if k >= 4 and sum(x[2] not in slots for x in i[p : p + k]) >= 4]
+    best = None
+    for shift in range(-len(i), len(t)):
+        run, before, there, back, same = 0, None, {}, {}, True
+        for rank, p in enumerate(usable):
+            if p + shift < 0 or p + shift + k > len(t):
+                continue
+            pairs, fits = [], True
+            for j in range(k):
+                a, b = i[p + j], t[p + shift + j]
+                want = a[2]
+                if p + j == 0 and want != "#" and b[2] != want and (b[2] == "@" and a[3] or b[2] == "%" and a[1] in decontaminate.UNITS):
+                    want = b[2]
+                    literals = sum(x[2] not in slots for x in i[1:k])
+                    fits &= literals >= 4 or a[1] == b[1]
+                fits &= want == b[2]
+                if want in slots:
+                    pairs.append((a[1], b[1]))
+            if not fits:
+                continue
+            agrees = all(there.get(x, y) == y and back.get(y, x) == x for x, y in pairs)
+            if run and (rank != before + 1 or not agrees):
+                run, there, back, same = 0, {}, {}, True
+            for x, y in pairs:
+                there[x], back[y] = y, x
+                same &= x == y
+            run, before = run + 1, rank
+            if run >= min(len(usable), 6):
+                best = max(best or (0, 0, False), (run, len(usable), same))
+    return best
+
+
+def plain_exact(text, item):
+    t, i = [x[0] for x in plain_tokens(text)], [x[0] for x in plain_tokens(item)]
+    n = min(13, len(i))
+    grams = {tuple(i[j : j + n]) for j in range(len(i) - n + 1)} if n else set()
+    return any(tuple(t[j : j + n]) in grams for j in range(len(t) - n + 1))
+
+
+def test_templates_match_brute_force(spark):
+    rng = random.Random(21)
+    words = "the a farmer sells buys and walks to market with sheep in for every day km kg".split()
+    make = {"#": lambda: str(rng.randint(1, 30)), "@": lambda: rng.choice(["Anna", "Peter", "Oldham", "Miles"]), "w": lambda: rng.choice(words)}
+    items = [(n, " ".join(make[rng.choice("wwwwww#@")]() + rng.choice(["", "", "", ".", ","]) for _ in range(rng.randint(3, 24))).capitalize()) for n in range(30)]
+    texts = []
+    for _ in range(220):
+        text = rng.choice(items)[1].split()
+        change = rng.choice([0, 0.15, 0.4])
+        swap = {}
+        for j, w in enumerate(text):
+            if (w[0].isdigit() or w[0].isupper()) and change:
+                # The same value is mostly replaced by the same one.
+                text[j] = swap.setdefault(w, make["#" if w[0].isdigit() else "@"]()) if rng.random() > 0.1 else make["#" if w[0].isdigit() else "@"]()
+            elif rng.random() < change / 8:
+                text[j] = make["w"]()
+        a, b = sorted(rng.sample(range(len(text) + 1), 2)) if rng.random() < 0.3 else (0, len(text))
+        texts.append(" ".join([*[make["w"]() for _ in range(rng.randint(0, 5))], *text[a:b], *[make["w"]() for _ in range(rng.randint(0, 5))]]))
+    docs, benchmark = frame(spark, list(enumerate(texts)), "doc_id long, text string"), frame(spark, items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.matched_windows, r.item_windows, r.same_slots) for r in decontaminate.contaminated(docs, benchmark).collect()}
+    found = 0
+    for d, text in enumerate(texts):
+        for n, item in items:
+            want = plain_match(text, item)
+            assert ((d, n) in got) == (want is not None or plain_exact(text, item)), (text, item, want, got.get((d, n)))
+            if want:
+                assert got[d, n] == want, (text, item)
+                found += 1
+    assert found > 100 and any(not x[2] for x in got.values())
+
+
+def test_odd_documents_for_decontamination(spark):
+    long = "x " * 400_000 + ITEM + " y" * 400_000
+    rows = [(None, ITEM, "a", 1), (5, ITEM, "b", 2), (5, ITEM, "b", 2), (6, long, "c", 3), (7, None, "d", 4), (8, "z" * 2_000_000, "e", 5)]
+    docs = frame(spark, rows, "doc_id long, text string, item_id string, matched_windows int")
+    benchmark = frame(spark, [(1, ITEM, 9)], "item_id long, text string, doc_id int")
+    assert sorted(map(str, (r.doc_id for r in decontaminate.contaminated(docs, benchmark).collect()))) == ["5", "5", "6", "None"]
+    left = decontaminate.clean(docs, benchmark)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [7, 8]
+    none = docs.limit(0)
+    assert decontaminate.contaminated(none, benchmark).collect() == decontaminate.clean(none, benchmark).collect() == []
+
+
 # Quality
 
 
