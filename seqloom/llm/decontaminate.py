@@ -1,5 +1,6 @@
 """Benchmark decontamination by template windows with typed slots, and by the words themselves."""
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,8 +20,8 @@ MIN_LITERALS = 4
 MIN_RUN = 6
 #: Words that make an exact match, those of MIN_RUN windows; a shorter item needs all of its words.
 EXACT = WINDOW + MIN_RUN - 1
-#: Bytes of benchmark text that are indexed and broadcast at a time; a larger benchmark takes several passes.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text that are indexed and broadcast at a time, as an index of about ten times their size; a larger benchmark takes several passes.
+BLOCK_BYTES = 16 << 20
 
 # Words that are units after a number.
 UNITS = (
@@ -98,13 +99,13 @@ def tokenize(data: np.ndarray, offsets: np.ndarray, any_case: bool = True) -> To
     return Tokens(canonical, raw, rows, capital, raw if any_case else textops.span_hashes(data, starts, ends))
 
 
-def _first_forms(tokens: Tokens, k: int) -> Iterator[np.ndarray]:
-    """The first k canonical words of an item as they are where other words stand before it: its first word may be a name or a unit there."""
-    if tokens.canonical[0] == _NUMBER:
+def _first_forms(tokens: Tokens, at: int, k: int) -> Iterator[np.ndarray]:
+    """The first k canonical words of the item that begins at `at` as they are where other words stand before it: its first word may be a name or a unit there."""
+    if tokens.canonical[at] == _NUMBER:
         return
-    for slot, fits in ((_NAME, tokens.capital[0]), (_UNIT, np.isin(tokens.raw[0], _UNIT_HASHES))):
+    for slot, fits in ((_NAME, tokens.capital[at]), (_UNIT, np.isin(tokens.raw[at], _UNIT_HASHES))):
         if fits:
-            form = tokens.canonical[:k].copy()
+            form = tokens.canonical[at : at + k].copy()
             form[0] = slot
             yield form
 
@@ -125,85 +126,115 @@ def _grams(words: np.ndarray, lengths: set[int]) -> Iterator[tuple[int, np.ndarr
             yield j + 1, sums
 
 
+def _all_tokens(texts: list, any_case: bool) -> Tokens:
+    parts, rows = [], [np.zeros(1, np.int64)]
+    for _, _, data, offsets in textops.chunks(pa.array(texts, pa.large_string())):
+        parts.append(tokenize(data, offsets, any_case))
+        rows.append(parts[-1].rows[1:] + rows[-1][-1])
+    join = lambda name, kind: np.concatenate([np.empty(0, kind), *[getattr(p, name) for p in parts]])
+    return Tokens(join("canonical", np.uint64), join("raw", np.uint64), np.concatenate(rows), join("capital", bool), join("exact", np.uint64))
+
+
+class _Table:
+    """Rows by a sorted key, and a bit for each low part of a key that occurs."""
+
+    def __init__(self, keys: np.ndarray, **columns: np.ndarray):
+        order = np.lexsort((*reversed(columns.values()), keys))
+        self.keys, first = np.unique(keys[order], return_index=True)
+        self.first = np.append(first, len(keys))
+        self.columns = {name: c[order] for name, c in columns.items()}
+        self.bits = np.zeros(1 << 16, bool)
+        self.bits[self.keys & np.uint64(0xFFFF)] = True
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of h, row) of every row whose key is in h, by index."""
+        at = np.flatnonzero(self.bits[h & np.uint64(0xFFFF)])
+        place = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
+        good = self.keys[place] == h[at]
+        at, place = at[good], place[good]
+        n = self.first[place + 1] - self.first[place]
+        return np.repeat(at, n), np.repeat(self.first[place] - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 class Index:
-    """Template windows and exact words of benchmark items, by length; equal items count as the first one."""
+    """Template windows and exact words of benchmark items, by length; equal items count as the first one.
+
+    All of it is arrays: about 50 bytes a word.
+    """
 
     def __init__(self, item_ids: list, texts: list, any_case: bool = False):
-        self.tables, self.need, self.total, self.ids = {}, {}, {}, {}
-        self.any_case, self.exact, self.words = any_case, {}, []
-        by_length, grams, seen = defaultdict(list), defaultdict(list), {}
-        for item, text in sorted(zip(item_ids, texts), key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
-            data, offsets = textops.text_bytes(pa.array([text or ""]))
-            tokens = tokenize(data, offsets, any_case)
-            k, mark = min(WINDOW, len(tokens.raw)), tokens.raw.tobytes()
-            if not k:
-                continue
-            number = seen.setdefault(mark, len(self.ids))
-            size = min(EXACT, len(tokens.raw))
-            for _, sums in _grams(tokens.exact, {size}):
-                grams[size].append((np.unique(sums), number))
-            if number in self.ids:
-                continue
-            self.ids[number] = item
-            self.words.append(len(tokens.raw))
-            if k < MIN_LITERALS:
-                continue
-            h, at = textops.windows(tokens.canonical, tokens.rows, k)
-            good = _usable(tokens, at, k)
-            if good.any():
-                self.total[number], self.need[number] = int(good.sum()), min(int(good.sum()), MIN_RUN)
-                by_length[k].append((number, tokens, h[good], at[good]))
-        for k, entries in by_length.items():
-            table = defaultdict(list)
-            for number, tokens, h, at in entries:
-                for rank, (x, p) in enumerate(zip(h.tolist(), at.tolist())):
-                    slots = tuple(np.flatnonzero(tokens.slots[p : p + k]).tolist())
-                    table[x].append((number, rank, p, slots, tuple(tokens.raw[p : p + k][list(slots)].tolist()), None))
-                    for form in _first_forms(tokens, k) if p == 0 else ():
-                        # With too few literals left the first word itself must be equal.
-                        fixed = int(tokens.raw[0]) if k - 1 - len(slots) < MIN_LITERALS else None
-                        own = (0, *slots)
-                        x_form = int(textops.windows(form, np.array([0, k]), k)[0][0])
-                        table[x_form].append((number, rank, p, own, tuple(tokens.raw[:k][list(own)].tolist()), fixed))
-            keys = np.array(sorted(table), np.uint64)
-            bits = np.zeros(1 << 16, bool)
-            bits[keys & np.uint64(0xFFFF)] = True
-            self.tables[k] = (keys, bits, table)
-        for k, entries in grams.items():
-            # Pairs of gram and item, once each, by gram.
-            sums = np.concatenate([x for x, _ in entries])
-            numbers = np.repeat([n for _, n in entries], [len(x) for x, _ in entries])
-            order = np.lexsort((numbers, sums))
-            sums, numbers = sums[order], numbers[order]
-            new = np.ones(len(sums), bool)
-            new[1:] = (sums[1:] != sums[:-1]) | (numbers[1:] != numbers[:-1])
-            sums, numbers = sums[new], numbers[new]
-            keys, first = np.unique(sums, return_index=True)
-            bits = np.zeros(1 << 16, bool)
-            bits[keys & np.uint64(0xFFFF)] = True
-            self.exact[k] = (keys, bits, np.append(first, len(sums)), numbers)
+        order = sorted(range(len(texts)), key=lambda i: (item_ids[i] is None, item_ids[i] or 0, texts[i] or ""))
+        self.any_case, ids = any_case, [item_ids[i] for i in order]
+        tokens = _all_tokens([texts[i] or "" for i in order], any_case)
+        self.raw, self.starts, self.words = tokens.raw, tokens.rows[:-1], np.diff(tokens.rows)
+        # number: the place of the first of equal items.
+        seen: dict[bytes, int] = {}
+        number = np.array([seen.setdefault(hashlib.blake2b(tokens.raw[a : a + n].tobytes(), digest_size=16).digest(), i) for i, (a, n) in enumerate(zip(self.starts, self.words))], np.int64)
+        self.ids = ids
+        first = (number == np.arange(len(number))) & (self.words > 0)
+        self.total, self.need = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        self.exact, self.tables = self._exact_tables(tokens, number), {}
+        for k in sorted({min(WINDOW, int(n)) for n in self.words[first] if n >= MIN_LITERALS}):
+            own = first & (np.minimum(self.words, WINDOW) == k)
+            if (table := self._template_table(tokens, own, k)) is not None:
+                self.tables[k] = table
+
+    def _exact_tables(self, tokens: Tokens, number: np.ndarray) -> dict[int, _Table]:
+        size, out = np.minimum(self.words, EXACT), {}
+        row = np.repeat(np.arange(len(self.words)), self.words)
+        for k, sums in _grams(tokens.exact, {int(n) for n in size if n}):
+            at = np.flatnonzero((size[row[: len(sums)]] == k) & (np.arange(len(sums)) + k <= tokens.rows[row[: len(sums)] + 1]))
+            # Pairs of gram and item, once each.
+            order = np.lexsort((number[row[at]], sums[at]))
+            x, n = sums[at][order], number[row[at]][order]
+            new = np.ones(len(x), bool)
+            new[1:] = (x[1:] != x[:-1]) | (n[1:] != n[:-1])
+            out[k] = _Table(x[new], number=n[new].astype(np.int32))
+        return out
+
+    def _template_table(self, tokens: Tokens, own: np.ndarray, k: int) -> _Table | None:
+        """Windows of the items in own: number, rank among the item's usable windows, place in it, slots as bits, and whether the first word itself must be equal."""
+        h, at = textops.windows(tokens.canonical, tokens.rows, k)
+        row = np.searchsorted(tokens.rows, at, "right") - 1
+        good = own[row] & _usable(tokens, at, k)
+        h, at, row = h[good], at[good], row[good]
+        if not len(at):
+            return None
+        new = np.flatnonzero(np.diff(row, prepend=-1))
+        count = np.diff(np.append(new, len(row)))
+        self.total[row[new]], self.need[row[new]] = count, np.minimum(count, MIN_RUN)
+        rank = np.arange(len(row)) - np.repeat(new, count)
+        slots, mask = tokens.slots, np.zeros(len(at), np.uint8)
+        for j in range(k):
+            mask |= slots[at + j].astype(np.uint8) << np.uint8(j)
+        place = at - tokens.rows[row]
+        more = []
+        for i in np.flatnonzero(place == 0).tolist():
+            literals = k - 1 - int(mask[i] & 0xFE).bit_count()
+            for form in _first_forms(tokens, int(at[i]), k):
+                more.append((textops.windows(form, np.array([0, k]), k)[0][0], row[i], rank[i], 0, mask[i] | 1, literals < MIN_LITERALS))
+        x, *columns = zip(*more) if more else [()] * 6
+        kinds = {"number": np.int32, "rank": np.int32, "place": np.int32, "mask": np.uint8, "fixed": bool}
+        base = (row, rank, place, mask, np.zeros(len(row), bool))
+        joined = {name: np.concatenate((b, np.array(c, kind))).astype(kind) for (name, kind), b, c in zip(kinds.items(), base, columns)}
+        return _Table(np.concatenate((h, np.array(x, np.uint64))), **joined)
 
     def _exact_matches(self, tokens: Tokens) -> dict[tuple[int, int], tuple[int, int]]:
         """(row, number) -> most consecutive windows that stand in the item word for word, and all windows of the item."""
         best: dict = {}
         for k, sums in _grams(tokens.exact, set(self.exact)):
-            keys, bits, first, numbers = self.exact[k]
-            at = np.flatnonzero(bits[sums & np.uint64(0xFFFF)])
-            place = np.minimum(np.searchsorted(keys, sums[at]), len(keys) - 1)
+            at, entry = self.exact[k].find(sums)
             row = np.searchsorted(tokens.rows, at, "right") - 1
-            good = (keys[place] == sums[at]) & (at + k <= tokens.rows[row + 1])
-            at, place, row = at[good], place[good], row[good]
+            good = at + k <= tokens.rows[row + 1]
+            at, row, own = at[good], row[good], self.exact[k].columns["number"][entry[good]].astype(np.int64)
             if not len(at):
                 continue
-            n = first[place + 1] - first[place]
-            own = numbers[np.repeat(first[place] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            at, row = np.repeat(at, n), np.repeat(row, n)
             order = np.lexsort((at, own))
             at, row, own = at[order], row[order], own[order]
             runs = np.flatnonzero(np.concatenate(([True], (np.diff(own) != 0) | (np.diff(at) != 1) | (np.diff(row) != 0))))
             for r, number, size in zip(row[runs].tolist(), own[runs].tolist(), np.diff(np.append(runs, len(at))).tolist()):
-                width = min(WINDOW, self.words[number])
-                total = self.words[number] - width + 1
+                width = min(WINDOW, int(self.words[number]))
+                total = int(self.words[number]) - width + 1
                 best[r, number] = max(best.get((r, number), (0, 0)), (min(size + k - width, total), total))
         return best
 
@@ -211,27 +242,28 @@ class Index:
         """(row, item id, matched windows, windows of the item, all slots equal) of each match, by templates, else by exact words."""
         tokens = tokenize(data, offsets, self.any_case)
         exact = self._exact_matches(tokens)
-        for k, (keys, bits, table) in self.tables.items():
+        for k, table in self.tables.items():
             h, at = textops.windows(tokens.canonical, tokens.rows, k)
-            hit = np.flatnonzero(bits[h & np.uint64(0xFFFF)])
-            place = np.minimum(np.searchsorted(keys, h[hit]), len(keys) - 1)
-            hit = hit[keys[place] == h[hit]]
+            hit, entry = table.find(h)
+            number, rank, place, mask, fixed = (c[entry] for c in table.columns.values())
+            p = at[hit]
+            good = ~fixed | (tokens.raw[p] == self.raw[np.minimum(self.starts[number], max(len(self.raw) - 1, 0))])
+            row = np.searchsorted(tokens.rows, p[good], "right") - 1
             diagonals = defaultdict(list)
-            row_of = np.searchsorted(tokens.rows, at[hit], "right") - 1
-            for row, p, x in zip(row_of.tolist(), at[hit].tolist(), h[hit].tolist()):
-                for number, rank, q, slots, values, fixed in table[x]:
-                    if fixed is None or tokens.raw[p] == fixed:
-                        diagonals[row, number, p - q].append((rank, p, slots, values))
+            for r, n, d, i, q, m in zip(row.tolist(), number[good].tolist(), p[good].tolist(), rank[good].tolist(), place[good].tolist(), mask[good].tolist()):
+                slots = [j for j in range(k) if m >> j & 1]
+                values = [int(self.raw[self.starts[n] + q + j]) for j in slots]
+                diagonals[r, n, d - q].append((i, d, slots, values))
             best: dict = {}
-            for (row, number, _), found in diagonals.items():
+            for (r, n, _), found in diagonals.items():
                 for size, same in self._runs(sorted(found), tokens.raw):
-                    if size >= self.need[number]:
-                        best[row, number] = max(best.get((row, number), (0, False)), (size, same))
-            for (row, number), (size, same) in sorted(best.items()):
-                exact.pop((row, number), None)
-                yield row, self.ids[number], size, self.total[number], same
-        for (row, number), (size, total) in sorted(exact.items()):
-            yield row, self.ids[number], size, total, True
+                    if size >= self.need[n]:
+                        best[r, n] = max(best.get((r, n), (0, False)), (size, same))
+            for (r, n), (size, same) in sorted(best.items()):
+                exact.pop((r, n), None)
+                yield r, self.ids[n], size, int(self.total[n]), same
+        for (r, n), (size, total) in sorted(exact.items()):
+            yield r, self.ids[n], size, total, True
 
     @staticmethod
     def _runs(found: list, raw: np.ndarray) -> Iterator[tuple[int, bool]]:
@@ -262,8 +294,8 @@ def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _blocks(benchmark: DataFrame, any_case: bool) -> Iterator[Index]:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = 1 + 4 * size // BLOCK_BYTES
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = 1 + size // BLOCK_BYTES
     if n > 1:
         # Equal items share a block, which counts them as one; the same text stays once.
         items = items.mapInArrow(_with_key, "item_id long, text string, key binary").groupBy("key", "text").agg(F.min("item_id").alias("item_id"))
