@@ -4,18 +4,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dna
-from .counters import lookup
+from .counters import lookup, same_codes
 
 ABSENT_MIN = 999_999
 
 
 def pick_unique(selection: DataFrame, genomic: DataFrame) -> DataFrame:
     """Codes of the selection that the genome has once; their value is 2."""
+    same_codes(selection, genomic)
     return selection.join(genomic.filter("value = 1"), "code", "left_semi").select("code", F.lit(2).cast("bigint").alias("value"))
 
 
 def default_mincount(a: DataFrame, b: DataFrame) -> DataFrame:
     """mincount: the largest c such that a has as many codes with value c or more as b has codes; 1 if none."""
+    same_codes(a, b)
     from pyspark.sql import Window
 
     reach = a.groupBy("value").agg(F.count("*").alias("n")).withColumn("reach", F.sum("n").over(Window.orderBy(F.col("value").desc())))
@@ -36,6 +38,7 @@ def difference_histogram(a: DataFrame, b: DataFrame, min_a: int) -> DataFrame:
 
 def least_shared(a: DataFrame, b: DataFrame, below_b: int = 2) -> DataFrame:
     """The least value in a of codes with below_b or more in b."""
+    same_codes(a, b)
     shared = a.join(b.filter(F.col("value") >= below_b).select("code"), "code", "left_semi")
     return shared.agg(F.coalesce(F.min("value"), F.lit(ABSENT_MIN).cast("bigint")).alias("least"))
 
@@ -51,6 +54,7 @@ def is_gain(case: int = 300, control: int = 3) -> Column:
 
 def gain_loss(case: DataFrame, control: DataFrame, bait: DataFrame, genomic: DataFrame, loss: Column, gain: Column) -> DataFrame:
     """code, vo, vm, vb, vg, type: losses among the bait's codes, gains among the case's."""
+    same_codes(case, control, bait, genomic)
 
     def values(driver: DataFrame, own: str) -> DataFrame:
         out = driver.select("code", F.col("value").alias(own))
@@ -76,6 +80,7 @@ def hamming_partners(losses: DataFrame, gains: DataFrame, k: int, distance: int
 
     Two codes within the distance agree on one of distance + 1 parts, so the join is on parts.
     """
+    same_codes(losses, gains)
     cuts = [k * i // (distance + 1) for i in range(distance + 2)]
 
     def parts(df: DataFrame, name: str) -> DataFrame:
@@ -84,7 +89,7 @@ def hamming_partners(losses: DataFrame, gains: DataFrame, k: int, distance: int
         return df.select(F.col("code").alias(name), F.posexplode(F.array(*pick)).alias("part", "bits"))
 
     near = parts(losses, "code").join(parts(gains, "gain"), ["part", "bits"]).filter(dna.letter_distance("code", "gain") <= distance)
-    # The first part on which both agree stands for the pair, so pairs need no second shuffle to become distinct.
+    # A pair that agrees on several parts comes several times, which the least and greatest gain do not see.
     found = near.groupBy("code").agg(F.min("gain").alias("least"), F.max("gain").alias("most"))
     partner = F.when(F.col("least").isNull(), -1).when(F.col("least") < F.col("most"), -2).otherwise(F.col("least"))
     return losses.select("code").distinct().join(found, "code", "left").select("code", partner.cast("bigint").alias("partner"))
@@ -95,6 +100,7 @@ def loss_statistics(windows: DataFrame, partners: DataFrame, unique: DataFrame)
 
     windows has gene and code; unique has the codes that count as such; partners those lost, with a partner.
     """
+    same_codes(windows, partners, unique)
     rows = windows.join(unique.select("code", F.lit(True).alias("u")), "code", "left").join(partners, "code", "left")
     return rows.groupBy("gene").agg(
         F.count("*").alias("total"), F.count("u").alias("unique"), F.count("partner").alias("lost"), F.count_if(F.col("partner") >= 0).alias("partnered"),

@@ -37,6 +37,18 @@ def check_same(*parameters: Parameters) -> Parameters:
     return parameters[0]
 
 
+def marked(table: DataFrame, k: int | Sequence[int], mode: str) -> DataFrame:
+    """The table with its shape and mode in the metadata of column code, which files and most operators keep."""
+    return table.withMetadata("code", {"shape": list(dna.shape(k)), "mode": mode})
+
+
+def same_codes(*tables: DataFrame) -> None:
+    """ValueError if tables that say what their codes are do not agree; those without metadata are not checked."""
+    found = [(tuple(m["shape"]), m["mode"]) for t in tables if (m := t.schema["code"].metadata) and "shape" in m]
+    if len(set(found)) > 1:
+        raise ValueError("counters of different k-mers: " + "; ".join(f"shape {list(s)} mode {m}" for s, m in dict.fromkeys(found)))
+
+
 def saturated(value, nvalues: int) -> Column:
     return F.least(value, F.lit(nvalues - 1).cast("bigint"))
 
@@ -54,7 +66,7 @@ VALUE_SETS: dict[str, Callable[..., Column]] = {
 
 def count(reads: DataFrame, k: int | Sequence[int], mode: str = "max", nvalues: int = NVALUES, seq: str = "seq") -> DataFrame:
     """The exact, saturating counter of all windows of reads: a partial and a final hash aggregation."""
-    return occurrences(reads, k, mode, seq).select("code", saturated(F.col("n"), nvalues).alias("value"))
+    return marked(occurrences(reads, k, mode, seq).select("code", saturated(F.col("n"), nvalues).alias("value")), k, mode)
 
 
 def occurrences(reads: DataFrame, k: int | Sequence[int], mode: str = "max", seq: str = "seq") -> DataFrame:
@@ -68,10 +80,11 @@ def filtered_count(reads: DataFrame, k: int, admitted_after: int, filter_reads:
     With the same input for both one aggregation does; else admitted k-mers without a count get 0.
     """
     if filter_reads is None:
-        return occurrences(reads, k, mode).filter(F.col("n") > admitted_after).select("code", saturated(F.col("n"), nvalues).alias("value"))
+        found = occurrences(reads, k, mode).filter(F.col("n") > admitted_after)
+        return marked(found.select("code", saturated(F.col("n"), nvalues).alias("value")), k, mode)
     admitted = occurrences(filter_reads, k, mode).filter(F.col("n") > admitted_after).select("code")
     joined = admitted.join(occurrences(reads, k, mode), "code", "left")
-    return joined.select("code", saturated(F.coalesce("n", F.lit(0).cast("bigint")), nvalues).alias("value"))
+    return marked(joined.select("code", saturated(F.coalesce("n", F.lit(0).cast("bigint")), nvalues).alias("value")), k, mode)
 
 
 def aggregate(increments: DataFrame, value_set: str = "count", *args) -> DataFrame:
@@ -81,33 +94,39 @@ def aggregate(increments: DataFrame, value_set: str = "count", *args) -> DataFra
 
 def update(table: DataFrame, increments: DataFrame, nvalues: int = NVALUES) -> DataFrame:
     """Adds increments (code, value), inserting absent codes."""
+    same_codes(table, increments)
     both = table.select("code", "value").unionByName(increments.select("code", "value"))
     return both.groupBy("code").agg(saturated(F.sum("value"), nvalues).alias("value"))
 
 
 def update_existing(table: DataFrame, increments: DataFrame, nvalues: int = NVALUES) -> DataFrame:
     """Adds increments to codes that are present; others are ignored."""
+    same_codes(table, increments)
     more = increments.groupBy("code").agg(F.sum("value").alias("more"))
     return table.join(more, "code", "left").select("code", saturated(F.col("value") + F.coalesce("more", F.lit(0)), nvalues).alias("value"))
 
 
 def store_new(table: DataFrame, new: DataFrame) -> DataFrame:
     """Inserts absent codes; present ones keep their value."""
+    same_codes(table, new)
     return table.select("code", "value").unionByName(new.join(table, "code", "left_anti").select("code", "value"))
 
 
 def overwrite(table: DataFrame, new: DataFrame) -> DataFrame:
     """Replaces or inserts."""
+    same_codes(table, new)
     return new.select("code", "value").unionByName(table.join(new, "code", "left_anti").select("code", "value"))
 
 
 def overwrite_existing(table: DataFrame, new: DataFrame) -> DataFrame:
     """Replaces the values of present codes."""
+    same_codes(table, new)
     return table.join(new.select("code", F.col("value").alias("new")), "code", "left").select("code", F.coalesce("new", "value").alias("value"))
 
 
 def lookup(keys: DataFrame, table: DataFrame, name: str = "value") -> DataFrame:
     """keys with the value of their code, 0 if absent."""
+    same_codes(keys, table)
     return keys.join(table.select("code", F.col("value").alias(name)), "code", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("bigint")))
 
 
@@ -155,6 +174,7 @@ def optimize(table: DataFrame, partitions: int) -> DataFrame:
 
 def verify(sequences: DataFrame, table: DataFrame, k: int, mode: str = "max", observed: int = 1, nvalues: int = NVALUES, keep: Sequence[str] = ("read_id",)) -> DataFrame:
     """Windows whose code is absent from the table or holds too small a value; empty if all is well."""
+    same_codes(table, marked(table, k, mode))
     found = position_codes(sequences, k, mode, keep=keep, invalid=False)
     joined = found.join(table, "code", "left")
     bad = F.col("value").isNull() | ~dna.count_compatible(F.lit(observed), "value", nvalues)

@@ -77,7 +77,7 @@ def genomic(spark: SparkSession, d: str, k: int = K) -> DataFrame:
 def samples(spark: SparkSession, d: str, k: int = K) -> DataFrame:
     own = reads(spark, d).select(F.when(F.col("lang") == "en", 1).otherwise(2).alias("grp"), F.pmod(F.col("read_id"), F.lit(4)).cast("int").alias("sample"), "seq")
     counted = codes(own, k, keep=["grp", "sample"]).groupBy("grp", "sample", "code").agg(F.count("*").alias("value"))
-    return counted.select("grp", "sample", "code", counters.saturated(F.col("value"), 512).alias("value"))
+    return counters.marked(counted.select("grp", "sample", "code", counters.saturated(F.col("value"), 512).alias("value")), k, "max")
 
 
 def thresholds(spark: SparkSession, k: int = K) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna
-from ..operators.counters import Parameters
+from ..operators.counters import Parameters, marked
 
 BED = "acc string, start0 bigint, end0 bigint, what string, dot string, strand string, refseq string, region string, dot2 string, extra string"
 PROTEINS = "ch string, acc string, start bigint, stop bigint, strand string, geneid string, locus string, tag string, product string, length bigint, pname string"
@@ -78,16 +78,17 @@ def _write_json(spark: SparkSession, path: str, value: dict) -> None:
     spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def save_counter(table: DataFrame, path: str, parameters: Parameters, partitions: int | None = None) -> None:
-    """Parquet at path/table, sorted by code within partitions, and its parameters at path/info."""
+def save_counter(table: DataFrame, path: str, parameters: Parameters, partitions: int | None = None, physical: dict | None = None) -> None:
+    """Parquet at path/table, sorted by code within partitions, and its parameters at path/info; physical ones are stored with them and not used."""
     rows = table.repartition(partitions, "code") if partitions else table.repartition("code")
     rows.sortWithinPartitions("code").write.mode("overwrite").parquet(f"{path}/table")
-    _write_json(table.sparkSession, f"{path}/info", parameters.asdict())
+    _write_json(table.sparkSession, f"{path}/info", parameters.asdict() | ({"physical": physical} if physical else {}))
 
 
 def load_counter(spark: SparkSession, path: str) -> tuple[DataFrame, Parameters]:
     info = json.loads(spark.read.text(f"{path}/info").first()[0])
-    return spark.read.parquet(f"{path}/table"), Parameters(**info)
+    info.pop("physical", None)
+    return marked(spark.read.parquet(f"{path}/table"), info["k"], info["mode"]), Parameters(**info)
 
 
 def write_dump(table: DataFrame, path: str, k: int, fmt: str = "csv") -> None:

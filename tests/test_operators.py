@@ -378,3 +378,87 @@ def test_groups_and_histograms(spark):
     seqs = spark.createDataFrame([("a", "ACG"), ("a", "A"), ("b", "")], "grp string, seq string")
     assert {tuple(r) for r in statistics.group_sizes(seqs, "grp", offset=1).collect()} == {("a", 2, 6), ("b", 1, 1)}
     assert {tuple(r) for r in statistics.group_sizes(seqs, "grp", override=9).collect()} == {("a", 2, 9), ("b", 1, 9)}
+
+
+def test_codes_at_the_borders_of_pieces(spark, monkeypatch):
+    rng = random.Random(31)
+    for n in (30, 31, 32, 61, 62, 63, 90, 200):
+        seqs = ["".join(rng.choice("ACGT" if j % 2 else "ACGTTGCAAN") for _ in range(n)) for j in range(4)] + ["é😀" + "ACGTT" * (n // 5)]
+        for k in (1, 5, 26, 27, 31, 32):
+            mode = rng.choice(["f", "r", "min", "max", "both"])
+            assert as_dict(counters.count(reads(spark, seqs), k, mode)) == brute(seqs, k, mode)
+        for shape in ((0, 1, 3), (0, 2, 29, 30), (0, 30), (0, 31), (0, 40, 61)):
+            assert as_dict(counters.count(reads(spark, seqs), shape, "max")) == brute(seqs, None, "max", shape=shape)
+
+
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_positions_in_small_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(kmers, "BLOCK", block)
+    rng = random.Random(32)
+    seqs = ["".join(rng.choice("ACGTacguN") for _ in range(n)) for n in (0, 2, 3, 150)] + [None]
+    frame = reads(spark, seqs).filter("seq IS NOT NULL") if block > 1 else reads(spark, seqs)
+    for spread in (False, True):
+        got = {(r.read_id, r.pos): r.code for r in kmers.position_codes(frame, 3, "f", keep=["read_id"], spread=spread).collect()}
+        text_ = {(r.read_id, r.pos): r.kmer for r in kmers.positions(frame, 3, "f", keep=["read_id"], invalid=True).collect()}
+        clean = [(s or "").translate(str.maketrans("acgtuU", "ACGTTT")) for s in seqs]
+        want = {(i, p): s[p : p + 3] if set(s[p : p + 3]) <= set("ACGT") else None for i, s in enumerate(clean) for p in range(len(s) - 2)}
+        assert text_ == want and got == {k: v and code(v) for k, v in want.items()}
+        letters = {(r.read_id, r.pos): r.letter for r in kmers.letters(frame, keep=["read_id"], spread=spread).collect()}
+        assert letters == {(i, p): c if c in "ACGT" else "N" for i, s in enumerate(clean) for p, c in enumerate(s)}
+
+
+def test_counters_of_other_kmers_are_refused(spark):
+    a, b = counters.count(reads(spark, ["ACGTACGT"]), 4), counters.count(reads(spark, ["ACGTACGT"]), 5)
+    c, plain = counters.count(reads(spark, ["ACGTACGT"]), 4, "min"), spark.createDataFrame([(1, 2)], "code long, value long")
+    for other in (b, c):
+        for f in (counters.update, counters.update_existing, counters.store_new, counters.overwrite, counters.overwrite_existing, counters.lookup, compare.pick_unique, compare.default_mincount, compare.least_shared):
+            with pytest.raises(ValueError):
+                f(a, other)
+        with pytest.raises(ValueError):
+            compare.gain_loss(a, a, other, a, compare.is_loss(), compare.is_gain())
+        with pytest.raises(ValueError):
+            compare.difference(a.filter("value > 0").orderBy("code"), other, 1)
+    with pytest.raises(ValueError):
+        counters.verify(reads(spark, ["ACGT"]), b, 4)
+    assert counters.update(a, plain).count() >= 1 and counters.update(a, a).count() == a.count()
+
+
+def test_counters_of_files_keep_their_kmers(spark, tmp_path):
+    for k in (4, 5):
+        tables.save_counter(counters.count(reads(spark, ["ACGTACGT"]), k), f"{tmp_path}/{k}", counters.Parameters(k))
+    a, b = (tables.load_counter(spark, f"{tmp_path}/{k}")[0] for k in (4, 5))
+    with pytest.raises(ValueError):
+        counters.update(a, b)
+
+
+def test_parameter_precedence():
+    from seqloom.__main__ import resolve_parameters
+
+    none = dict.fromkeys(("nobjects", "type", "hashfunctions", "pagesize", "fill", "aligned"))
+    assert resolve_parameters(None, none)["nobjects"] == 10_000_000
+    got = resolve_parameters(["5", "x:a", "_", "4", "0.5"], {**none, "pagesize": 3})
+    assert got == {"nobjects": 5, "type": "x", "aligned": True, "hashfunctions": "random", "pagesize": 3, "fill": 0.5}
+    with pytest.raises(ValueError):
+        resolve_parameters(["1"] * 6, none)
+
+
+def test_more_commands(spark, tmp_path, monkeypatch):
+    import io
+    import types
+
+    from seqloom import __main__ as command
+
+    for end, seq in ((1, "ACGTTGCA"), (2, "GGGTTTAA")):
+        (tmp_path / f"s_R{end}.fq").write_text(f"@r\n{seq}\n+\n{'I' * 8}\n")
+    run = lambda *a: command.run(command.parser().parse_args(list(map(str, a))), spark)
+    assert run("count", "--paired", tmp_path / "s_R1.fq", "-o", tmp_path / "pair", "-k", 3, "-P", 100, "_", "-p", 4) == 0
+    monkeypatch.setattr("sys.stdin", types.SimpleNamespace(buffer=io.BytesIO(b">a\nACGTTGCA\n")))
+    assert run("count", "--fasta", "-", "-o", tmp_path / "one", "-k", 3, "--nostats") == 0
+    pair, one = (as_dict(tables.load_counter(spark, str(tmp_path / n))[0]) for n in ("pair", "one"))
+    assert pair == brute(["ACGTTGCA", "GGGTTTAA"], 3, "max", 32) and one == brute(["ACGTTGCA"], 3, "max", 32)
+    assert run("diff", tmp_path / "pair", tmp_path / "one", "-o", tmp_path / "diff", "--mincount", 1, 1, "--below", 1) == 0
+    rows = {r.code for r in spark.read.csv(f"{tmp_path}/diff/first", header=True).collect()}
+    assert {code(c) for c in rows} == set(pair) - set(one)
+    assert run("histogram", "-i", tmp_path / "one", "-o", tmp_path / "h") == 0
+    assert run("gainloss", *[x for n in ("case", "control", "bait", "genomic") for x in (f"--{n}", tmp_path / "one")], "-o", tmp_path / "g") == 0
+    assert run("dump", "-i", tmp_path / "pair", "-o", tmp_path / "d", "--text", "--values", 1, "2-3") == 0
