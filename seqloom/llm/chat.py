@@ -55,7 +55,8 @@ def preference_pairs(conversations: DataFrame) -> DataFrame:
     Rows without conv_id are left out. Turns are in order of turn, then role, then text; repeated
     rows are turns of their own. A null role is rendered as unknown, a null text as empty. A
     conversation without partner gets a pair with an empty prompt and the other side empty; equal
-    ones have empty completions. Other columns are not read.
+    ones have empty completions. Conversations and texts of any length are rendered whole. Without
+    rows there are no pairs. Other columns are not read.
     """
     pairs = _turns(conversations)
     both = F.least(F.size("chosen"), F.size("rejected"))

@@ -315,7 +315,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, any_case: bool = False)
     MIN_LITERALS words that are no slots; exact words have no such limit, and their case counts
     unless any_case. A match by exact words only counts all windows of the item. Equal items count
     as the one with the smallest id (a null id last); items without a word match nothing. A null
-    text is empty. A null doc_id stays null; rows that repeat are matched each.
+    text is empty; texts of any length are searched whole. A null doc_id stays null; rows that repeat
+    are matched each; other columns are not read. An empty table on either side has no matches.
     """
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, T.LongType()) for c in ("item_id", "matched_windows", "item_windows")], T.StructField("same_slots", T.BooleanType())])
     out = None

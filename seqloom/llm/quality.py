@@ -223,8 +223,8 @@ def judge(docs: DataFrame, model: Trees, least: float = 0.0) -> DataFrame:
     """doc_id, the counts, base_failed and kept of every row.
 
     A null text counts as empty, has no words and so fails the base rules. Rows are judged one by
-    one: a null id, repeated rows and other columns make no difference. `least` is the log-odds
-    that a document must reach.
+    one, whole at any length: a null id, repeated rows and other columns make no difference, and
+    an empty table has an empty result. `least` is the log-odds that a document must reach.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

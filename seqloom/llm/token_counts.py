@@ -52,7 +52,8 @@ def section_tokens(docs: DataFrame, vocabulary: str, rule: str = "most") -> Data
 
     Sections are the \\n-split lines, each with the \\n that ends it. section_tokens has the count
     of each section, joined by commas; they add up to n_tokens. A null or empty text is one
-    section without tokens. Other columns are not read; rows that repeat are counted each.
+    section without tokens; texts of any length are encoded whole. A null doc_id stays null. Other
+    columns are not read; rows that repeat are counted each; without rows there is no result row.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")

@@ -659,3 +659,50 @@ def test_recall_on_documents(spark):
     loose = re.compile(r"[0-9]{3}[-. )]+[0-9]{3}|password|AKIA|token|@|[0-9]+\\.[0-9]+\\.[0-9]+|[0-9]{12}|\(at\)", re.I)
     odd = [d for d, spans in got.items() if spans and not loose.search(texts[d])]
     assert len(odd) <= 0.001 * len(texts), [(texts[d][int(a) : int(b)], k) for d in odd[:5] for k, a, b in got[d]]
+
+
+def test_odd_tables_of_tokens_and_quality(spark):
+    long = " ".join(f"w{i}" for i in range(200_000)) + "\n" + "x" * 200_000
+    rows = [(1, "one two\nthree", "a", 1, True), (1, "one two\nthree", "a", 1, True), (None, "one two\nthree", "b", 2, False), (3, long, "c", 3, None), (4, None, None, None, None)]
+    docs = frame(spark, rows, "doc_id long, text string, n_tokens string, n_words int, kept boolean")
+    vocabulary = token_output.vocabulary_path("byte_bpe_50k.tiktoken")
+    encoding, _ = token_counts.encoder(vocabulary)
+    got = sorted(((r.doc_id, r.n_tokens, r.n_sections) for r in token_counts.section_tokens(docs, vocabulary).collect()), key=str)
+    count = len(encoding.encode_ordinary("one two\nthree"))
+    assert got == sorted([(1, count, 2), (1, count, 2), (None, count, 2), (3, len(encoding.encode_ordinary(long)), 2), (4, 0, 1)], key=str)
+    constant = quality.fit(np.zeros((0, 12)), np.zeros(0), [0] * 12)
+    got = {(r.doc_id, r.n_words, r.base_failed, r.kept) for r in quality.judge(docs, constant).collect()}
+    assert got == {(1, 3, True, False), (None, 3, True, False), (3, 200_001, False, True), (4, 0, True, False)}
+    assert quality.judge(docs, constant).count() == 5 and [r.doc_id for r in quality.keep(docs, constant).collect()] == [3]
+    none = docs.limit(0)
+    assert token_counts.section_tokens(none, vocabulary).collect() == quality.judge(none, constant).collect() == quality.keep(none, constant).collect() == []
+
+
+def plain_pairs(rows):
+    """Pairs by plain Python: (prefix, prompt, chosen, rejected) of each pair_id."""
+    render = lambda turns: "".join(f"<|{(r or 'unknown').replace('<|', '< |')}|>\n{(t or '').replace('<|', '< |')}<|end|>\n" for r, t in turns)
+    talks = {}
+    key = lambda x: tuple((v is not None, v if v is not None else 0) for v in x[1:])
+    for conv, *rest in sorted((r for r in rows if r[0] is not None), key=key):
+        talks.setdefault(conv, []).append(tuple(rest[1:]))
+    out = {}
+    for pair in {c // 2 for c in talks}:
+        a, b = talks.get(2 * pair, []), talks.get(2 * pair + 1, [])
+        n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        out[pair] = (n, render(a[:n]), render(a[n:]), render(b[n:]))
+    return out
+
+
+def test_pairs_match_brute_force(spark):
+    rng = random.Random(41)
+    rows = []
+    for pair in range(40):
+        talk = [(rng.choice(["user", "assistant", None, "tool"]), rng.choice(["a", "b <| x", "é", None, ""])) for _ in range(rng.randint(0, 6))]
+        for end in (0, 1):
+            own = [t if rng.random() < 0.85 else ("user", "other") for t in talk[: rng.randint(0, len(talk))]]
+            rows += [(2 * pair + end, i if rng.random() < 0.95 else None, *t) for i, t in enumerate(own)]
+    rows += rows[:5] + [(-4, 1, "user", "below"), (100, 0, "user", "z" * 1_000_000), (101, 0, "user", "z" * 1_000_000)] + [(102, i, "assistant", f"t{i}") for i in range(2000)]
+    frame_ = frame(spark, [(*r, "?") for r in rows], "conv_id long, turn long, role string, text string, chosen string")
+    got = {r.pair_id: (r.prefix_turns, r.prompt, r.chosen, r.rejected) for r in chat.preference_pairs(frame_).collect()}
+    assert got == plain_pairs(rows)
+    assert chat.preference_pairs(frame_.limit(0)).collect() == []
