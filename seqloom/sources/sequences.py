@@ -37,7 +37,11 @@ def with_values(records: DataFrame, value: Column, skip=None) -> DataFrame:
 
 
 def _numbered_lines(spark: SparkSession, paths) -> DataFrame:
-    """file, n (from 0), line. Offsets count the lines of each file's partitions before, by two cheap passes."""
+    """file, n (from 0), line. Offsets count the lines of each file's partitions before, by two cheap passes.
+
+    Both passes are planned from the same files and settings, so a row has the same id in each, also
+    when a task is run again.
+    """
     lines = spark.read.text(paths).select(F.input_file_name().alias("file"), F.regexp_replace("value", "\r$", "").alias("line"), F.monotonically_increasing_id().alias("id"))
     lines = lines.withColumn("part", F.shiftrightunsigned("id", 33))
     starts = lines.groupBy("file", "part").agg(F.count("*").alias("n"), F.min("id").alias("first"))

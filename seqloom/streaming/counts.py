@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import counters
+from ..sources import sequences
 
 
 def read_stream(spark: SparkSession, path: str, schema: str = "read_id bigint, seq string", files_per_batch: int | None = None) -> DataFrame:
@@ -30,5 +31,22 @@ def merge_batches(reads: DataFrame, k: int, path: str, checkpoint: str, mode: st
     return reads.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def merge_fastq(spark: SparkSession, folder: str, k: int, path: str, checkpoint: str, mode: str = "max", nvalues: int = counters.NVALUES, files_per_batch: int = 64) -> StreamingQuery:
+    """Like `merge_batches`, over the FASTQ files (.gz too) that appear in a folder.
+
+    The stream has the files' names, files_per_batch at a time; each batch reads its own files,
+    whose records are counted in lines and so need whole files.
+    """
+    names = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_batch).load(folder).select("path")
+
+    def write(batch: DataFrame, number: int) -> None:
+        files = [row.path for row in batch.collect()]
+        if files:
+            reads = sequences.read_fastq(spark, files, dirty=True)
+            counters.count(reads, k, mode, 1 << 62).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return names.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def load_batches(spark: SparkSession, path: str, nvalues: int = counters.NVALUES) -> DataFrame:
     return spark.read.parquet(path).groupBy("code").agg(counters.saturated(F.sum("value"), nvalues).alias("value"))

@@ -324,6 +324,18 @@ def test_streams(spark, tmp_path):
     assert as_dict(counts.load_batches(spark, f"{tmp_path}/out")) == want
 
 
+def test_fastq_streams(spark, tmp_path):
+    folder, seqs = tmp_path / "in", ["ACGTTGCA", "GGGTTTAA", "ACGNACG"]
+    folder.mkdir()
+    run = lambda: counts.merge_fastq(spark, str(folder), 3, str(tmp_path / "out"), str(tmp_path / "check"), files_per_batch=1).awaitTermination()
+    for i, seq in enumerate(seqs):
+        data = f"@r\n{seq}\n+\n{'@' * len(seq)}\n".encode()
+        (folder / (f"{i}.fq.gz" if i % 2 else f"{i}.fq")).write_bytes(gzip.compress(data) if i % 2 else data)
+        if i:
+            run()
+    assert as_dict(counts.load_batches(spark, str(tmp_path / "out"))) == brute(seqs, 3, "max")
+
+
 def test_commands(spark, tmp_path):
     from seqloom.__main__ import parser, run
 
