@@ -8,6 +8,10 @@ from ..operators import counters
 from ..sources import sequences
 
 
+#: What the reader of whole files returns, of which only the path is read.
+BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+
+
 def read_stream(spark: SparkSession, path: str, schema: str = "read_id bigint, seq string", files_per_batch: int | None = None) -> DataFrame:
     """Reads of the Parquet files that appear in a folder."""
     reader = spark.readStream.schema(schema)
@@ -37,7 +41,7 @@ def merge_fastq(spark: SparkSession, folder: str, k: int, path: str, checkpoint:
     The stream has the files' names, files_per_batch at a time; each batch reads its own files,
     whose records are counted in lines and so need whole files.
     """
-    names = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_batch).load(folder).select("path")
+    names = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("maxFilesPerTrigger", files_per_batch).load(folder).select("path")
 
     def write(batch: DataFrame, number: int) -> None:
         files = [row.path for row in batch.collect()]
