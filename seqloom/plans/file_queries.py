@@ -234,6 +234,16 @@ def track_file(spark, d):
     return found.select(F.col("chrom").cast("string").alias("chrom"), "pos", "cov_a")
 
 
+@query(f"WITH {fx.CASE}, {fx.GENOMIC} SELECT 'case' AS name, code, value FROM case_c UNION ALL SELECT 'genomic', code, value FROM genomic_c")
+def group_files(spark, d):
+    """Two counters and an attribute saved as a group, found again by the group's name."""
+    root = scratch_path(spark, "groups")
+    tables.save_group(f"{root}/run7", {"case": fx.case(spark, d), "genomic": fx.genomic(spark, d)}, {"names": ["case", "genomic"]})
+    found = tables.load_group(spark, f"{root}/{tables.only_group(spark, root)}")
+    a, b = (found[n].select(F.lit(n).alias("name"), "code", "value") for n in found["names"])
+    return a.unionByName(b)
+
+
 @query(f"WITH {_TRACK} SELECT column_name FROM (SELECT unnest(['chrom', 'pos']) AS column_name)")
 def common_columns(spark, d):
     names = tables.common_datasets([_track(spark, d), fx.genome(spark, d).withColumn("pos", F.lit(0))])

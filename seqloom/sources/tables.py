@@ -99,6 +99,61 @@ def write_dump(table: DataFrame, path: str, k: int, fmt: str = "csv") -> None:
         table.write.mode("overwrite").parquet(path)
 
 
+def save_group(path: str, frames: dict[str, DataFrame] | None = None, attributes: dict | None = None, spark: SparkSession | None = None) -> None:
+    """Tables by name at path/tables and attributes (JSON values) at path/attributes; those of other names stay."""
+    for name, frame in (frames or {}).items():
+        frame.write.mode("overwrite").parquet(f"{path}/tables/{name}")
+    for name, value in (attributes or {}).items():
+        _write_json(spark or next(iter(frames.values())).sparkSession, f"{path}/attributes/{name}", {"value": value})
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder, sorted; none if it does not exist."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in files.listStatus(place) if x.isDirectory()) if files.exists(place) else []
+
+
+def load_group(spark: SparkSession, path: str, names: list[str] | None = None) -> dict:
+    """The tables and attributes of a group by name, all or the given ones; KeyError for a missing name."""
+    stored, attributes = _names(spark, f"{path}/tables"), _names(spark, f"{path}/attributes")
+    out = {}
+    for name in [*stored, *attributes] if names is None else names:
+        if name in stored:
+            out[name] = spark.read.parquet(f"{path}/tables/{name}")
+        elif name in attributes:
+            out[name] = json.loads(spark.read.text(f"{path}/attributes/{name}").first()[0])["value"]
+        else:
+            raise KeyError(f"{name} is not in {path}")
+    return out
+
+
+def groups(spark: SparkSession, path: str, ending: str = "") -> list[str]:
+    """Names of the groups in a folder that end so, sorted."""
+    return [n for n in _names(spark, path) if n.endswith(ending)]
+
+
+def only_group(spark: SparkSession, path: str, ending: str = "", needed: bool = True) -> str | None:
+    """The one group whose name ends so; ValueError for several, and for none if it is needed."""
+    found = groups(spark, path, ending)
+    if len(found) == 1 or not (found or needed):
+        return found[0] if found else None
+    raise ValueError(f"{len(found)} groups in {path}")
+
+
+def largest_number(spark: SparkSession, path: str) -> int | None:
+    """The greatest number that ends a group's name in a folder, such as a k-mer size; None if there is none."""
+    import re
+
+    return max((int(m[0]) for n in groups(spark, path) if (m := re.search(r"\d+$", n))), default=None)
+
+
+def common_names(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Names of the tables that all these groups have, sorted."""
+    first, *rest = [_names(spark, f"{p}/tables") for p in paths]
+    return [n for n in first if all(n in r for r in rest)]
+
+
 def common_datasets(frames: list[DataFrame]) -> list[str]:
     """Column names that all tables have, in the first one's order."""
     return [c for c in frames[0].columns if all(c in f.columns for f in frames)]

@@ -474,3 +474,23 @@ def test_more_commands(spark, tmp_path, monkeypatch):
     assert run("histogram", "-i", tmp_path / "one", "-o", tmp_path / "h") == 0
     assert run("gainloss", *[x for n in ("case", "control", "bait", "genomic") for x in (f"--{n}", tmp_path / "one")], "-o", tmp_path / "g") == 0
     assert run("dump", "-i", tmp_path / "pair", "-o", tmp_path / "d", "--text", "--values", 1, "2-3") == 0
+
+
+def test_groups_in_folders(spark, tmp_path):
+    one, two = spark.range(3), spark.range(2)
+    root = str(tmp_path)
+    assert tables.groups(spark, f"{root}/none") == [] and tables.only_group(spark, root, needed=False) is None and tables.largest_number(spark, root) is None
+    tables.save_group(f"{root}/x5", {"a": one, "b": two}, {"k": 5, "shape": [0, 2], "name": "é"})
+    tables.save_group(f"{root}/x11", {"b": one, "c": two})
+    tables.save_group(f"{root}/x11", attributes={"k": None}, spark=spark)
+    got = tables.load_group(spark, f"{root}/x5")
+    assert got["a"].count() == 3 and (got["k"], got["shape"], got["name"]) == (5, [0, 2], "é") and set(got) == {"a", "b", "k", "shape", "name"}
+    assert set(tables.load_group(spark, f"{root}/x11", ["k", "b"])) == {"k", "b"}
+    with pytest.raises(KeyError):
+        tables.load_group(spark, f"{root}/x5", ["a", "z"])
+    assert tables.groups(spark, root) == ["x11", "x5"] and tables.largest_number(spark, root) == 11 and tables.only_group(spark, root, "5") == "x5"
+    with pytest.raises(ValueError):
+        tables.only_group(spark, root)
+    with pytest.raises(ValueError):
+        tables.only_group(spark, root, "y")
+    assert tables.common_names(spark, [f"{root}/x5", f"{root}/x11"]) == ["b"]
