@@ -272,6 +272,16 @@ def pair_update(spark, d):
     return merged.select("code", "value", c1.alias("c1"), c2.alias("c2"))
 
 
+@query(
+    f"""WITH {fx.CASE}, {fx.BAIT}, u AS (SELECT code, value AS c1, 0 AS c2 FROM case_c UNION ALL SELECT code, 0, value FROM bait_c),
+p AS (SELECT code, (least(sum(c1), 15) + 16 * least(sum(c2), 7))::BIGINT AS value FROM u GROUP BY code)
+SELECT code, value, value >= 40 AS compatible FROM p"""
+)
+def pairs_compatible(spark, d):
+    """Can a stored pair hold an observed one of 8 and 2?"""
+    return pair_update(spark, d).select("code", "value", dna.pairs_compatible(dna.pack(F.lit(8), F.lit(2), 4), "value").alias("compatible"))
+
+
 @query(f"WITH {fx.CASE}, {fx.BAIT} SELECT b.code, least(b.value + coalesce(c.value, 0), 511) AS value FROM bait_c b LEFT JOIN case_c c USING (code)")
 def update_existing(spark, d):
     return counters.update_existing(fx.bait(spark, d), fx.case(spark, d))
@@ -633,6 +643,15 @@ def combined_ranks(spark, d):
     return genes.combined_ranks(_names(spark, d, "en"), _names(spark, d, "de"), 20, 5)
 
 
+@query(
+    f"""{_TWO}, t AS (SELECT gene, min(rank) - 1 AS r2 FROM b GROUP BY gene), j AS (SELECT a.gene, a.rank AS r1, coalesce(t.r2, -1) AS r2 FROM a LEFT JOIN t USING (gene))
+SELECT * FROM j WHERE r2 >= 2 AND r2 - r1 >= -400 AND NOT regexp_matches(gene, '^(TRNA|LOC|MIR)') ORDER BY r1 LIMIT 7"""
+)
+def combined_ranks_limited(spark, d):
+    """With more names than the limit takes."""
+    return genes.combined_ranks(_names(spark, d, "en"), _names(spark, d, "de"), 2, -400, 7)
+
+
 @query("SELECT 'G' || doc_id % 97 AS gene, count(DISTINCT lang) AS votes FROM documents GROUP BY 1 HAVING count(DISTINCT lang) >= 3")
 def consensus(spark, d):
     names = _table(spark, d, "documents").select(F.concat(F.lit("G"), (F.col("doc_id") % 97).cast("string")).alias("gene"), F.col("lang").alias("list")).distinct()
