@@ -13,29 +13,36 @@ MAX_REPEATS = 3
 HASH_BITS, LEVEL_BITS = 60, 12
 
 
-def targets(sizes: DataFrame, weights=WEIGHTS) -> DataFrame:
+def _weighted(sizes: DataFrame, scratch: Scratch, weights) -> DataFrame:
+    """sizes with weight, by each source's place in code point order (null last), found by range partitions and their counts."""
+    order = F.col("source").asc_nulls_last()
+    dealt = scratch.save(sizes.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "dealt")
+    counts = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    # One row a range partition.
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")).cast("long")
+    return dealt.join(before, "part").select("source", "source_size", weight.alias("weight"))
+
+
+def targets(sizes: DataFrame, scratch: Scratch, weights=WEIGHTS) -> DataFrame:
     """source, source_size, numerator, denominator, target of each row of sizes (source, source_size).
 
     The target is weight times a common rate, or MAX_REPEATS times the size where that is less;
     the rate makes the targets add up to all sizes. It is a ratio of integers, so reruns and
-    other engines agree to the last bit. The windows run over one row a source.
+    other engines agree to the last bit. Sources whose share is above their cap get the cap, and
+    what is left is shared among the others, until none is above; each step is one aggregation,
+    so sources may be as many as hosts.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(order) - 1) % len(weights) + 1).cast("long")
-    cap = F.col("source_size") * MAX_REPEATS
-    ranked = sizes.withColumn("weight", weight).withColumn("cap", cap)
-    by_ratio = Window.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    ranked = ranked.withColumn("total", F.sum("source_size").over(everything)).withColumn("weights", F.sum("weight").over(everything))
-    ranked = ranked.withColumn("left_size", F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0)))
-    ranked = ranked.withColumn("left_weight", F.col("weights") - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    # The first source, by cap for its weight, whose share stays under its cap sets the rate for it and all after it.
-    under = F.col("left_size") * F.col("weight") < F.col("cap") * F.col("left_weight")
-    rate = F.min(F.when(under, F.struct(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source", "left_size", "left_weight"))).over(everything)
-    ranked = ranked.withColumn("under", F.max(under).over(by_ratio.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rate", rate)
-    numerator = F.when(F.col("under"), F.col("rate.left_size") * F.col("weight")).otherwise(F.col("cap"))
-    denominator = F.when(F.col("under"), F.col("rate.left_weight")).otherwise(F.lit(1))
+    ranked = scratch.save(_weighted(sizes, scratch, weights).withColumn("cap", F.col("source_size") * MAX_REPEATS), "weighted")
+    wide = lambda c: c.cast("decimal(18,0)")
+    whole = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).first()
+    share, before = (whole["size"], whole["weight"]), None
+    while share != before:
+        capped = wide(F.col("cap")) * wide(F.lit(share[1])) <= wide(F.lit(share[0])) * wide(F.col("weight"))
+        left = ranked.agg(F.coalesce(F.sum(F.when(capped, F.col("cap"))), F.lit(0)).alias("cap"), F.coalesce(F.sum(F.when(~capped, F.col("weight"))), F.lit(0)).alias("weight")).first()
+        share, before = (whole["size"] - left["cap"], left["weight"]), share
+    numerator, denominator = F.when(capped, F.col("cap")).otherwise(F.lit(share[0]) * F.col("weight")), F.when(capped, 1).otherwise(F.lit(share[1]))
     return ranked.select("source", "source_size", numerator.cast("long").alias("numerator"), denominator.cast("long").alias("denominator")).withColumn("target", F.col("numerator") / F.col("denominator"))
 
 
@@ -93,7 +100,7 @@ def mix(docs: DataFrame, scratch: Scratch) -> DataFrame:
     Other columns are not read.
     """
     rows = scratch.save(sized(docs), "sized")
-    sources = scratch.save(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
+    sources = scratch.save(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), scratch), "targets")
     cuts = thresholds(rows, sources, scratch)
     plan = sources.alias("t").join(cuts.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source"))).select("t.*", "repeats", "cut")
     plan = scratch.save(plan, "plan")
@@ -105,7 +112,7 @@ def mix(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def mixed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of docs with all their columns, each as often as `mix` takes it."""
     rows = scratch.save(sized(docs), "sized")
-    sources = scratch.save(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
+    sources = scratch.save(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), scratch), "targets")
     plan = scratch.save(thresholds(rows, sources, scratch), "plan")
     joined = docs.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
     copies = (F.col("p.repeats") + (row_hash("d.doc_id", "d.text") < F.col("p.cut")).cast("long")).cast("int")

@@ -141,6 +141,24 @@ def test_mixed_keeps_all_columns(spark):
     assert got.columns == docs.columns and sorted(got.collect()) == sorted(docs.collect())
 
 
+def test_targets_of_many_sources(spark):
+    rng = random.Random(51)
+    sizes = {**{f"host{i:05d}": rng.choice([0, 1, 2, 5, 1000, rng.randint(0, 50)]) for i in range(3000)}, None: 7}
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, open_ = {}, set(order)
+    while True:
+        left, whole = sum(sizes.values()) - sum(target.values()), sum(weight[s] for s in open_)
+        over = {s for s in open_ if left * weight[s] >= 3 * sizes[s] * whole}
+        if not over:
+            break
+        target |= {s: 3 * sizes[s] for s in over}
+        open_ -= over
+    target |= {s: left * weight[s] / whole for s in open_}
+    got = mixing.targets(frame(spark, list(sizes.items()), "source string, source_size long").repartition(5), Scratch(spark, "t")).collect()
+    assert len(got) == len(sizes) and {r.source: r.target for r in got} == target
+
+
 def test_mix_of_nothing(spark):
     schema = "doc_id long, text string, source string"
     assert mixing.mix(frame(spark, [], schema), Scratch(spark, "t")).collect() == []
