@@ -390,8 +390,10 @@ def distinct_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
     rows = base.filter("doc_id IS NOT NULL").join(label, "print")
     is_first = (F.col("doc_id") == F.col("component_id")) & (F.col("mark") == F.col("component_mark"))
     rows = rows.groupBy("doc_id", "mark").agg(F.min(is_first).alias("first"), F.count("*").alias("n"))
-    gone = scratch.save(rows.filter("NOT first OR n > 1").select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"), "first"), "gone")
-    same = (F.col("doc_id").cast("long") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_mark"))
+    # Names that no column of docs has.
+    key, text = ("_" * max(map(len, docs.columns)) + x for x in ("id", "mark"))
+    gone = scratch.save(rows.filter("NOT first OR n > 1").select(F.col("doc_id").alias(key), F.col("mark").alias(text), "first"), "gone")
+    same = (F.col("doc_id").cast("long") == F.col(key)) & (F.xxhash64("text") == F.col(text))
     out = docs.join(gone.drop("first").hint("shuffle_hash"), same, "left_anti")
     again = gone.filter("first").drop("first")
     if again.isEmpty():

@@ -152,6 +152,9 @@ def test_distinct_documents_are_rows(spark):
     assert got.columns == docs.columns
     want = [(4, a, 1), (2, b, 1), (None, a, 5), (None, a, 5), (7, None, 6), (7, None, 6), (7, " ", 7)]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    named = docs.selectExpr("doc_id", "text", "mark", "1 AS gone_id", "'x' AS first", "2 AS component_id", "3 AS _row", "4 AS ____id")
+    got = near_dedup.distinct_documents(named, Scratch(spark, "t"))
+    assert got.columns == named.columns and sorted(str(tuple(r)[:3]) for r in got.collect()) == sorted(map(str, want))
     empty = spark.createDataFrame([], docs.schema)
     assert near_dedup.distinct_documents(empty, Scratch(spark, "t")).collect() == []
 
