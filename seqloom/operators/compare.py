@@ -12,7 +12,7 @@ ABSENT_MIN = 999_999
 def pick_unique(selection: DataFrame, genomic: DataFrame) -> DataFrame:
     """Codes of the selection that the genome has once; their value is 2."""
     same_codes(selection, genomic)
-    return selection.join(genomic.filter("value = 1"), "code", "left_semi").select("code", F.lit(2).cast("bigint").alias("value"))
+    return selection.join(genomic.filter("value = 1").hint("merge"), "code", "left_semi").select("code", F.lit(2).cast("bigint").alias("value"))
 
 
 def default_mincount(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def difference_histogram(a: DataFrame, b: DataFrame, min_a: int) -> DataFrame:
 def least_shared(a: DataFrame, b: DataFrame, below_b: int = 2) -> DataFrame:
     """The least value in a of codes with below_b or more in b."""
     same_codes(a, b)
-    shared = a.join(b.filter(F.col("value") >= below_b).select("code"), "code", "left_semi")
+    shared = a.join(b.filter(F.col("value") >= below_b).select("code").hint("merge"), "code", "left_semi")
     return shared.agg(F.coalesce(F.min("value"), F.lit(ABSENT_MIN).cast("bigint")).alias("least"))
 
 
@@ -101,7 +101,7 @@ def loss_statistics(windows: DataFrame, partners: DataFrame, unique: DataFrame)
     windows has gene and code; unique has the codes that count as such; partners those lost, with a partner.
     """
     same_codes(windows, partners, unique)
-    rows = windows.join(unique.select("code", F.lit(True).alias("u")), "code", "left").join(partners, "code", "left")
+    rows = windows.join(unique.select("code", F.lit(True).alias("u")).hint("merge"), "code", "left").join(partners.hint("merge"), "code", "left")
     return rows.groupBy("gene").agg(
         F.count("*").alias("total"), F.count("u").alias("unique"), F.count("partner").alias("lost"), F.count_if(F.col("partner") >= 0).alias("partnered"),
     )

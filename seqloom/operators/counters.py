@@ -83,7 +83,7 @@ def filtered_count(reads: DataFrame, k: int, admitted_after: int, filter_reads:
         found = occurrences(reads, k, mode).filter(F.col("n") > admitted_after)
         return marked(found.select("code", saturated(F.col("n"), nvalues).alias("value")), k, mode)
     admitted = occurrences(filter_reads, k, mode).filter(F.col("n") > admitted_after).select("code")
-    joined = admitted.join(occurrences(reads, k, mode), "code", "left")
+    joined = admitted.join(occurrences(reads, k, mode).hint("merge"), "code", "left")
     return marked(joined.select("code", saturated(F.coalesce("n", F.lit(0).cast("bigint")), nvalues).alias("value")), k, mode)
 
 
@@ -103,31 +103,32 @@ def update_existing(table: DataFrame, increments: DataFrame, nvalues: int = NVAL
     """Adds increments to codes that are present; others are ignored."""
     same_codes(table, increments)
     more = increments.groupBy("code").agg(F.sum("value").alias("more"))
-    return table.join(more, "code", "left").select("code", saturated(F.col("value") + F.coalesce("more", F.lit(0)), nvalues).alias("value"))
+    return table.join(more.hint("merge"), "code", "left").select("code", saturated(F.col("value") + F.coalesce("more", F.lit(0)), nvalues).alias("value"))
 
 
 def store_new(table: DataFrame, new: DataFrame) -> DataFrame:
     """Inserts absent codes; present ones keep their value."""
     same_codes(table, new)
-    return table.select("code", "value").unionByName(new.join(table, "code", "left_anti").select("code", "value"))
+    return table.select("code", "value").unionByName(new.join(table.hint("merge"), "code", "left_anti").select("code", "value"))
 
 
 def overwrite(table: DataFrame, new: DataFrame) -> DataFrame:
     """Replaces or inserts."""
     same_codes(table, new)
-    return new.select("code", "value").unionByName(table.join(new, "code", "left_anti").select("code", "value"))
+    return new.select("code", "value").unionByName(table.join(new.hint("merge"), "code", "left_anti").select("code", "value"))
 
 
 def overwrite_existing(table: DataFrame, new: DataFrame) -> DataFrame:
     """Replaces the values of present codes."""
     same_codes(table, new)
-    return table.join(new.select("code", F.col("value").alias("new")), "code", "left").select("code", F.coalesce("new", "value").alias("value"))
+    return table.join(new.select("code", F.col("value").alias("new")).hint("merge"), "code", "left").select("code", F.coalesce("new", "value").alias("value"))
 
 
 def lookup(keys: DataFrame, table: DataFrame, name: str = "value") -> DataFrame:
     """keys with the value of their code, 0 if absent."""
     same_codes(keys, table)
-    return keys.join(table.select("code", F.col("value").alias(name)), "code", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("bigint")))
+    # The planner takes counters for as small as the files they come from; they grow with the input, so none is broadcast.
+    return keys.join(table.select("code", F.col("value").alias(name)).hint("merge"), "code", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("bigint")))
 
 
 def parse_values(text: str) -> list[tuple[int, int]]:
@@ -176,6 +177,6 @@ def verify(sequences: DataFrame, table: DataFrame, k: int, mode: str = "max", ob
     """Windows whose code is absent from the table or holds too small a value; empty if all is well."""
     same_codes(table, marked(table, k, mode))
     found = position_codes(sequences, k, mode, keep=keep, invalid=False)
-    joined = found.join(table, "code", "left")
+    joined = found.join(table.hint("merge"), "code", "left")
     bad = F.col("value").isNull() | ~dna.count_compatible(F.lit(observed), "value", nvalues)
     return joined.filter(bad).select(*keep, "pos", "code")

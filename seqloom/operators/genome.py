@@ -14,7 +14,7 @@ def pair_track(genome: DataFrame, pairs: DataFrame, genomic: DataFrame, k: int,
     """chrom, pos, c1, c2, uniq for every window of genome (chrom, seq) without invalid letters."""
     found = position_codes(genome, k, mode, keep=["chrom"], invalid=False, spread=True)
     same_codes(marked(found, k, mode), pairs, genomic)
-    joined = found.join(pairs.select("code", "c1", "c2"), "code", "left").join(genomic.select("code", F.col("value").alias("g")), "code", "left")
+    joined = found.join(pairs.select("code", "c1", "c2").hint("merge"), "code", "left").join(genomic.select("code", F.col("value").alias("g")).hint("merge"), "code", "left")
     zero = F.lit(0).cast("bigint")
     return joined.select("chrom", "pos", F.coalesce("c1", zero).alias("c1"), F.coalesce("c2", zero).alias("c2"), (F.coalesce("g", zero) == 1).alias("uniq"))
 

@@ -52,28 +52,43 @@ def _numbers(piece, digits: str, base: int) -> Column:
     return F.conv(F.translate(piece, f"{_VALID}N", digits), base, 10).cast("bigint")
 
 
-def _with_codes(pieces: DataFrame, offsets: Sequence[int], keep: Sequence[str], checked: bool) -> DataFrame:
-    """keep, _i and code of every window of the pieces (keep, _piece): null where a letter at the offsets is N, if they are to be checked."""
+def _window(hi: str, lo: str, behind: Column, span: int) -> Column:
+    """The code of the window of a piece with so many letters behind it; hi and lo are the numbers of the piece's halves."""
+    # Letters behind the window may lie in the second half alone.
+    whole = F.call_function("shiftright", F.col(hi), 2 * (behind - F.col("_low")))
+    parted = F.call_function("shiftleft", F.col(hi), 2 * (F.col("_low") - behind)).bitwiseOR(F.call_function("shiftright", F.col(lo), 2 * behind))
+    return F.when(behind >= F.col("_low"), whole).otherwise(parted).bitwiseAND(F.lit((1 << 2 * span) - 1))
+
+
+def _with_codes(pieces: DataFrame, offsets: Sequence[int], mode: str, keep: Sequence[str], checked: bool) -> DataFrame:
+    """keep, _i and code, in the given mode, of every window of the pieces (keep, _piece): null where a letter at the offsets is N, if they are to be checked.
+
+    The reverse complement of a window is a window of the piece's, so it costs two shifts as well.
+    """
     span = offsets[-1] + 1
     low = F.greatest(F.length("_piece") - HALF, F.lit(0))
-    columns = {
-        "_n": F.length("_piece"), "_low": low, "_hi": _numbers(F.substring("_piece", 1, HALF), "01233012330", 4),
-        "_lo": F.when(low > 0, _numbers(F.substring("_piece", HALF + 1, HALF), "01233012330", 4)).otherwise(F.lit(0).cast("bigint")),
-    }
+    second = lambda text: F.when(low > 0, _numbers(F.substring(text, HALF + 1, HALF), "01233012330", 4)).otherwise(F.lit(0).cast("bigint"))
+    first = lambda text: _numbers(F.substring(text, 1, HALF), "01233012330", 4)
+    columns = {"_n": F.length("_piece"), "_low": low}
+    if mode != "r":
+        columns |= {"_hi": first("_piece"), "_lo": second("_piece")}
+    if mode != "f":
+        pieces = pieces.withColumn("_other", F.reverse(F.translate("_piece", _VALID, "TGCAAtgcaa")))
+        columns |= {"_rhi": first("_other"), "_rlo": second("_other")}
     if checked:
         columns["_bad"] = _numbers("_piece", "00000000001", 2)
     rows = pieces.select(*keep, *[c.alias(n) for n, c in columns.items()])
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - span)).alias("_i"))
-    # Letters of the piece behind the window, and of those the ones in its second half.
     behind = F.col("_n") - span - F.col("_i")
-    whole = F.call_function("shiftright", F.col("_hi"), 2 * (behind - F.col("_low")))
-    parted = F.call_function("shiftleft", F.col("_hi"), 2 * (F.col("_low") - behind)).bitwiseOR(F.call_function("shiftright", F.col("_lo"), 2 * behind))
-    window = F.when(behind >= F.col("_low"), whole).otherwise(parted).bitwiseAND(F.lit((1 << 2 * span) - 1))
-    code = _picked(window, offsets)
+    forward = _picked(_window("_hi", "_lo", behind, span), offsets) if mode != "r" else None
+    backward = _picked(_window("_rhi", "_rlo", F.col("_i"), span), [span - 1 - o for o in reversed(offsets)]) if mode != "f" else None
+    code = {"f": lambda: forward, "r": lambda: backward, "min": lambda: F.least(forward, backward), "max": lambda: F.greatest(forward, backward), "both": lambda: F.array(forward, backward)}[mode]()
     if checked:
         mask = sum(1 << (span - 1 - o) for o in offsets)
-        code = F.when(F.call_function("shiftright", F.col("_bad"), behind).bitwiseAND(F.lit(mask)) == 0, code)
-    return rows.select(*keep, "_i", code.alias("code"))
+        good = F.call_function("shiftright", F.col("_bad"), behind).bitwiseAND(F.lit(mask)) == 0
+        none = F.lit(None).cast("bigint")
+        code = F.when(good, code).otherwise(F.array(none, none) if mode == "both" else none)
+    return rows.select(*keep, "_i", F.explode(code).alias("code") if mode == "both" else code.alias("code"))
 
 
 def _picked(window: Column, offsets: Sequence[int]) -> Column:
@@ -134,16 +149,9 @@ def codes(df: DataFrame, k: int | Sequence[int], mode: str = "max", seq: str = "
     if not _by_shifts(offsets):
         return kmers(df, k, mode, seq, keep).select(*keep, dna.code("kmer", size).alias("code"))
     if offsets[-1] + 1 == size:
-        found = _with_codes(_valid_pieces(df, size, seq, keep), offsets, keep, False)
-    else:
-        found = _with_codes(_all_pieces(df, offsets[-1] + 1, seq, keep), offsets, keep, True).filter("code IS NOT NULL")
-    return _in_mode(found, size, mode, keep)
-
-
-def _in_mode(found: DataFrame, size: int, mode: str, keep: Sequence[str]) -> DataFrame:
-    if dna.mode(mode) == "both":
-        return found.select(*keep, F.explode(F.array("code", dna.reverse_complement_code("code", size))).alias("code"))
-    return found.select(*keep, dna.canonical_code("code", size, mode).alias("code"))
+        return _with_codes(_valid_pieces(df, size, seq, keep), offsets, dna.mode(mode), keep, False).select(*keep, "code")
+    found = _with_codes(_all_pieces(df, offsets[-1] + 1, seq, keep), offsets, dna.mode(mode), keep, True)
+    return found.filter("code IS NOT NULL").select(*keep, "code")
 
 
 def positions(df: DataFrame, k: int | Sequence[int], mode: str = "max", seq: str = "seq", keep: Sequence[str] = (), invalid: bool = False) -> DataFrame:
@@ -168,9 +176,8 @@ def position_codes(df: DataFrame, k: int | Sequence[int], mode: str = "max", seq
     if not _by_shifts(offsets):
         return positions(df, k, mode, seq, keep, invalid).select(*keep, "pos", dna.code("kmer", len(offsets)).alias("code"))
     pieces = _all_pieces(df, offsets[-1] + 1, seq, keep, position=True, spread=spread)
-    rows = _with_codes(pieces, offsets, [*keep, "_at"], True)
-    rows = rows.select(*keep, (F.col("_at") + F.col("_i")).alias("pos"), "code")
-    out = _in_mode(rows, len(offsets), mode, [*keep, "pos"])
+    rows = _with_codes(pieces, offsets, dna.mode(mode), [*keep, "_at"], True)
+    out = rows.select(*keep, (F.col("_at") + F.col("_i")).alias("pos"), "code")
     return out if invalid else out.filter("code IS NOT NULL")
 
 
