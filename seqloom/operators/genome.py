@@ -25,7 +25,8 @@ def coverage(genome: DataFrame, flags: DataFrame, k: int, columns: dict[str, str
     flags has chrom, pos (the window's first) and boolean columns; columns maps names to them. Bins
     of the axis carry a halo of the k - 1 positions before them.
     """
-    axis = letters(genome, keep=["chrom"], spread=True).join(flags.select("chrom", "pos", *columns.values()), ["chrom", "pos"], "left")
+    # By merge, as all joins of tracks: the planner takes a row for each position for as small as the text it was made from.
+    axis = letters(genome, keep=["chrom"], spread=True).join(flags.select("chrom", "pos", *columns.values()).hint("merge"), ["chrom", "pos"], "left")
     own = F.floor(F.col("pos") / bin_size)
     rows = axis.withColumn("bin", F.explode(F.array_distinct(F.array(own, F.floor((F.col("pos") + k - 1) / bin_size)))))
     before = Window.partitionBy("chrom", "bin").orderBy("pos").rangeBetween(-(k - 1), 0)
