@@ -97,7 +97,7 @@ def inside_regions(found: DataFrame, regions: DataFrame, bin_size: int = BIN) ->
     m = found.select(F.col("chrom").alias("m_chrom"), "first", "last", "value", F.floor(F.col("first") / bin_size).alias("m_bin"))
     rows = regions.withColumn("bin", F.explode(bins("start", F.col("end") - 1, bin_size)))
     inside = (F.col("m_chrom") == F.col("chrom")) & (F.col("m_bin") == F.col("bin")) & (F.col("first") >= F.col("start")) & (F.col("last") < F.col("end"))
-    return rows.join(m, inside, "left").drop("m_chrom", "m_bin", "bin")
+    return rows.join(m.hint("merge"), inside, "left").drop("m_chrom", "m_bin", "bin")
 
 
 def region_minima(found: DataFrame, regions: DataFrame) -> DataFrame:
