@@ -49,7 +49,7 @@ def exon_table(exons: DataFrame, minima: DataFrame) -> DataFrame:
     overlap = (F.col("m_chrom") == F.col("chrom")) & (F.col("first") < F.col("end")) & (F.col("last") >= F.col("start"))
     # A pair that shares several bins is joined in the first of them.
     overlap &= (F.col("m_bin") == F.col("bin")) & (F.col("bin") == F.floor(F.greatest("first", "start") / BIN))
-    joined = rows.join(m, overlap, "left")
+    joined = rows.join(m.hint("merge"), overlap, "left")
     covered = F.least(F.col("last") + 1, F.col("end")) - F.greatest("first", "start")
     by_exon = joined.groupBy("gene", "chrom", "start", "end").agg(
         F.coalesce(F.max((F.col("first") <= F.col("start")).cast("bigint")), F.lit(0)).alias("at_start"),
