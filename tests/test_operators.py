@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import dna, numbers, text
-from seqloom.operators import compare, counters, genes, genome, kmers, statistics
+from seqloom.operators import compare, counters, genes, genome, kmers, statistics, superkmers
 from seqloom.sources import sequences, tables
 from seqloom.streaming import counts
 
@@ -494,3 +494,42 @@ def test_groups_in_folders(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.only_group(spark, root, "y")
     assert tables.common_names(spark, [f"{root}/x5", f"{root}/x11"]) == ["b"]
+
+
+def _long_reads(seed, n=12):
+    rng = random.Random(seed)
+    made = ["".join(rng.choice("ACGTNacgtu" if rng.random() < 0.02 else "ACGT") for _ in range(rng.randint(0, 300))) for _ in range(n)]
+    return [*GOLDEN, *made, *made[:3], "AC" * 60, "T" * 150]
+
+
+@pytest.mark.parametrize("mode", dna.MODES)
+def test_long_kmers_match_brute_force(spark, mode):
+    seqs = _long_reads(5)
+    for k in (13, 27, 31):
+        assert as_dict(counters.count(reads(spark, seqs), k, mode)) == brute(seqs, k, mode), k
+    full = brute(seqs, 27, mode)
+    assert as_dict(counters.filtered_count(reads(spark, seqs), 27, 1, mode=mode)) == {c: n for c, n in full.items() if n > 1}
+
+
+def test_long_kmers_shuffle_runs_and_not_codes(spark):
+    """What is dealt out is far less than a row for each distinct k-mer."""
+    rng = random.Random(6)
+    df = reads(spark, ["".join(rng.choice("ACGT") for _ in range(5000)) for _ in range(20)])
+    plan = counters.count(df, 27)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(bucket" in plan and "hashpartitioning(code" not in plan
+    assert superkmers._dealt_runs(df, 27, "seq").agg(F.sum(F.length("data"))).first()[0] < 3 * 20 * 4974
+
+
+def test_large_buckets_go_to_files(monkeypatch):
+    """More distinct codes than are held: sorted parts on disk, merged by ranges."""
+    monkeypatch.setattr(superkmers, "HELD", 1000)
+    rng = random.Random(9)
+    tally, want = superkmers._Tally(), {}
+    for _ in range(100):
+        codes = [rng.randrange(10_000) << 40 for _ in range(300)]
+        for c in codes:
+            want[c] = want.get(c, 0) + 1
+        tally.add(superkmers.np.array(codes, "uint64"))
+    pieces = list(tally.counts())
+    assert len(tally.files) > 1 and len(pieces) > 1
+    assert [(int(c), int(n)) for codes, counts in pieces for c, n in zip(codes, counts)] == sorted(want.items())
