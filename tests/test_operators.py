@@ -520,6 +520,22 @@ def test_long_kmers_shuffle_runs_and_not_codes(spark):
     assert superkmers._dealt_runs(df, 27, "seq").agg(F.sum(F.length("data"))).first()[0] < 3 * 20 * 4974
 
 
+def test_lookup_in_reads(spark):
+    """Keys that reads have or not, keys twice and null ones; against the lookup in a whole counter."""
+    seqs, other = _long_reads(7), _long_reads(8, 3)
+    for k in (4, 27):
+        for mode in ("f", "max"):
+            full = brute(seqs, k, mode)
+            codes = [*list(full)[::3], *brute(other, k, mode), *list(full)[:2], None]
+            keys = spark.createDataFrame(list(enumerate(codes)), "i long, code long")
+            got = {r.i: (r.code, r.value) for r in counters.lookup_reads(keys, reads(spark, seqs), k, mode).collect()}
+            assert got == {i: (c, full.get(c, 0)) for i, c in enumerate(codes)}
+    plan = counters.lookup_reads(keys, reads(spark, seqs), 27)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(bucket" in plan
+    with pytest.raises(ValueError):
+        counters.lookup_reads(counters.count(reads(spark, seqs), 5), reads(spark, seqs), 27)
+
+
 def test_large_buckets_go_to_files(monkeypatch):
     """More distinct codes than are held: sorted parts on disk, merged by ranges."""
     monkeypatch.setattr(superkmers, "HELD", 1000)
